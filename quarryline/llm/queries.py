@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarryline.llm import mixing, packing, sampling, survivors
+from quarryline.llm import mixing, packing, residue, sampling, splitting, survivors
 from quarryline.sources.tables import table
 
 
@@ -22,6 +23,8 @@ def _on(*names: str):
 
 
 QUERIES = {
+    "p1_found": _on("chunks")(lambda c: splitting.totals(c, "chunk_id", "text").filter(F.col("tokens") > splitting.LIMIT).select(F.col("key").alias("chunk_id"))),
+    "p1_pieces": _on("chunks")(lambda c: splitting.pieces(c, "chunk_id", "text")),
     "p3_found": _on("chunks", "sample_targets")(lambda c, t: sampling.report(c, t).filter("rows_there < rows_needed").select("target_id")),
     "p3_sample": _on("chunks", "sample_targets")(sampling.sample),
     "p3_report": _on("chunks", "sample_targets")(sampling.report),
@@ -35,6 +38,12 @@ QUERIES = {
     "p9_report": _on("documents", "mix_targets")(lambda d, t: mixing.report(mixing.sizes(d), t)),
 }
 
+QUERIES |= {
+    "p10_found": _on("documents")(lambda d: residue.residue(d).filter("coverage > 0").select("doc_id")),
+    "p10_residue": _on("documents")(residue.residue),
+    "p10_clean": _on("documents")(residue.clean),
+}
+
 _TICKER = "regexp_replace(regexp_replace(upper(ticker), '^.*:', ''), '[^A-Z0-9]', '', 'g')"
 _FORM = "regexp_replace(regexp_replace(upper(form_type), '^\\s*FORM\\b', ''), '[^A-Z0-9/]', '', 'g')"
 _ITEM = "regexp_replace(regexp_replace(upper(item_code), '\\b(PART|ITEM)\\b', '', 'g'), '[^A-Z0-9]', '', 'g')"
@@ -42,6 +51,7 @@ _CONCEPT = r"regexp_replace(regexp_replace(lower(trim(concept)), '^([a-z][a-z0-9
 _ACCESSION = "lpad(ltrim(regexp_replace(accession, '[^0-9]', '', 'g'), '0'), 18, '0')"
 
 SQL = {
+    "p1_found": "SELECT chunk_id FROM chunks WHERE len(list_filter(string_split_regex(text, '[ ' || chr(9) || chr(10) || chr(13) || ']+'), lambda t: t <> '')) > 512",
     "p3_found": f"""
 WITH c AS (SELECT {_TICKER} t, {_FORM} f, {_ITEM} i, count(*) n FROM chunks GROUP BY ALL), s AS (SELECT count(*) // 20 AS size FROM chunks)
 SELECT target_id FROM (SELECT target_id, {_TICKER} t, {_FORM} f, {_ITEM} i, greatest(min_rows, ceil(round(target_share * (SELECT size FROM s), 6))) need FROM sample_targets)
