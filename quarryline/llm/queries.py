@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import mixing, packing, residue, sampling, splitting, survivors
+from quarryline.llm import boilerplate, mixing, packing, residue, sampling, splitting, survivors
 from quarryline.sources.tables import table
 
 
@@ -25,6 +25,9 @@ def _on(*names: str):
 QUERIES = {
     "p1_found": _on("chunks")(lambda c: splitting.totals(c, "chunk_id", "text").filter(F.col("tokens") > splitting.LIMIT).select(F.col("key").alias("chunk_id"))),
     "p1_pieces": _on("chunks")(lambda c: splitting.pieces(c, "chunk_id", "text")),
+    "p2_found": _on("chunks")(boilerplate.furniture),
+    "p2_lines": _on("chunks")(boilerplate.lines),
+    "p2_body": _on("chunks")(boilerplate.body),
     "p3_found": _on("chunks", "sample_targets")(lambda c, t: sampling.report(c, t).filter("rows_there < rows_needed").select("target_id")),
     "p3_sample": _on("chunks", "sample_targets")(sampling.sample),
     "p3_report": _on("chunks", "sample_targets")(sampling.report),
