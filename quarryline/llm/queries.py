@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import boilerplate, mixing, packing, residue, sampling, splitting, survivors
+from quarryline.llm import boilerplate, mixing, neardup, packing, residue, sampling, splitting, survivors
 from quarryline.sources.tables import table
 
 
+#: Words of a piece and similarity that problem 4 states for these data.
+P4 = (2, 0.7)
+
+
+def _records(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    return neardup.texts_of((chunks.filter("chunk_type = 'prose'"), "chunk", "chunk_id", "text"), (items, "question", "item_id", "question"))
+
+
 def _on(*names: str):
     """A query that gets its tables by name."""
 
@@ -31,6 +39,7 @@ QUERIES = {
     "p3_found": _on("chunks", "sample_targets")(lambda c, t: sampling.report(c, t).filter("rows_there < rows_needed").select("target_id")),
     "p3_sample": _on("chunks", "sample_targets")(sampling.sample),
     "p3_report": _on("chunks", "sample_targets")(sampling.report),
+    "p4_found": _on("chunks", "eval_items")(lambda c, e: neardup.pairs(_records(c, e), *P4).withColumnRenamed("kind", "record_kind")),
     "p7_found": _on("xbrl_facts")(survivors.found),
     "p7_survivors": _on("xbrl_facts")(survivors.survivors),
     "p8_found": _on("documents")(lambda d: packing.pack(packing.pieces(d)).filter("not whole").select("doc_id").distinct()),
