@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import boilerplate, mixing, neardup, packing, residue, sampling, splitting, survivors
+from quarryline.llm import boilerplate, mixing, neardup, neighbours, packing, residue, sampling, splitting, survivors
 from quarryline.sources.tables import table
 
 
@@ -40,6 +40,8 @@ QUERIES = {
     "p3_sample": _on("chunks", "sample_targets")(sampling.sample),
     "p3_report": _on("chunks", "sample_targets")(sampling.report),
     "p4_found": _on("chunks", "eval_items")(lambda c, e: neardup.pairs(_records(c, e), *P4).withColumnRenamed("kind", "record_kind")),
+    "p5_found": _on("chunks")(lambda c: neighbours.close_pairs(c, "chunk_id", "embedding", 5, 0.85).withColumnsRenamed({"a": "chunk_id_a", "b": "chunk_id_b"})),
+    "p5_neighbours": _on("chunks")(lambda c: neighbours.neighbours(c, "chunk_id", "embedding", 5)),
     "p7_found": _on("xbrl_facts")(survivors.found),
     "p7_survivors": _on("xbrl_facts")(survivors.survivors),
     "p8_found": _on("documents")(lambda d: packing.pack(packing.pieces(d)).filter("not whole").select("doc_id").distinct()),
