@@ -318,7 +318,7 @@ def lines(pages: DataFrame, key: str = "chunk_id", text: str = "raw_text") -> Da
             return s
 
         for rows in batches:
-            keys, numbers, texts, ps = [], [], [], []
+            keys, places, texts, ps = [], [], [], []
             for k, t in zip(rows["k"], rows["t"]):
                 if not t:
                     continue
@@ -326,10 +326,10 @@ def lines(pages: DataFrame, key: str = "chunk_id", text: str = "raw_text") -> Da
                 for no, (x, p) in enumerate(zip(own_lines, marginals(own_lines, own, score))):
                     if p == p:
                         keys.append(k)
-                        numbers.append(no)
+                        places.append(no)
                         texts.append(x)
                         ps.append(p)
-            yield pd.DataFrame({"k": keys, "line_no": np.array(numbers, dtype=np.int32), "line": texts, "p_body": np.array(ps, dtype=float)})
+            yield pd.DataFrame({"k": keys, "line_no": np.array(places, dtype=np.int32), "line": texts, "p_body": np.array(ps, dtype=float)})
 
     kind = dict(pages.dtypes)[key]
     found = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(infer, f"k {kind}, line_no int, line string, p_body double")
