@@ -22,7 +22,7 @@ def parse_number(text: Column) -> Column:
     bare = F.regexp_replace(F.trim(text), r"^\$\s*", "")
     negative = bare.rlike(r"^\(.*\)$")
     inside = F.regexp_replace(F.when(negative, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare), "[−–—]", "-")
-    digits = F.regexp_replace(inside, "[$,     ]", "")
+    digits = F.regexp_replace(inside, r"[$,\s\u00a0\u2007\u2009\u202f]", "")
     number = F.when(digits.isin("", "-"), F.lit("0")).when(digits.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), digits).try_cast(MONEY)
     return F.when(F.trim(text) == "", None).otherwise(F.when(negative, -number).otherwise(number))
 

@@ -50,9 +50,8 @@ def contained(inner: DataFrame, outer: DataFrame, part: str, inner_id: str, oute
     hit = i.join(o, part).filter("char_start <= _from and _to <= char_end")
     first = hit.groupBy(part, inner_id, "_from", "_to").agg(F.min_by("_id", F.struct("char_start", "_id")).alias("_id"), F.count("*").alias("containers"))
     keys = [part, inner_id, "_from", "_to"]
-    return i.join(first, same(i, first, keys), "left").select(
-        *[i[k] for k in (part, inner_id)], F.col("_id").alias(outer_id), F.coalesce("containers", F.lit(0)).alias("containers")
-    )
+    # keys of intervals hold no null here, as part and offsets joined
+    return i.join(first, keys, "left").select(part, inner_id, F.col("_id").alias(outer_id), F.coalesce("containers", F.lit(0)).alias("containers"))
 
 
 def last_before(rows: DataFrame, part: list[str], order: list[str], marker: Column, default: Column) -> Column:

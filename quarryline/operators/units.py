@@ -90,7 +90,7 @@ def facts_of(facts: DataFrame) -> DataFrame:
 
 def printed(raw: Column) -> Column:
     """Figure as printed: brackets or a minus of any kind make it negative; null if there is no digit."""
-    digits = F.regexp_extract(raw, r"([0-9][0-9,    ]*(?:\.[0-9]+)?|\.[0-9]+)", 1)
+    digits = F.regexp_extract(raw, r"([0-9][0-9,\s    ]*(?:\.[0-9]+)?|\.[0-9]+)", 1)
     number = F.regexp_replace(digits, "[^0-9.]", "").try_cast("decimal(28,8)")
     return F.when(raw.rlike(r"^[^0-9]*[(\-−–]"), -number).otherwise(number)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryline.plans import amounts
+from quarryline.plans import amounts, answers, tables, values
 
-_PARTS = (amounts,)
+_PARTS = (amounts, tables, values, answers)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
-flagship = QUERIES["p6_found"]
+flagship = answers.ranking_by_source
