@@ -329,7 +329,8 @@ def lines(pages: DataFrame, key: str = "chunk_id", text: str = "raw_text") -> Da
                         places.append(no)
                         texts.append(x)
                         ps.append(p)
-            yield pd.DataFrame({"k": keys, "line_no": np.array(places, dtype=np.int32), "line": texts, "p_body": np.array(ps, dtype=float)})
+            if keys:
+                yield pd.DataFrame({"k": keys, "line_no": np.array(places, dtype=np.int32), "line": texts, "p_body": np.array(ps, dtype=float)})
 
     kind = dict(pages.dtypes)[key]
     found = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(infer, f"k {kind}, line_no int, line string, p_body double")

@@ -24,7 +24,7 @@ def supply(sized: DataFrame, targets: DataFrame) -> DataFrame:
     by_source = sized.groupBy("source_key").agg(F.sum("tokens").alias("source_tokens"))
     total = by_source.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("all_tokens"))
     return (
-        targets.withColumn("source_key", source_key("source"))
+        targets.select("source", "target_weight", "max_repeats").withColumn("source_key", source_key("source"))
         .join(by_source, "source_key", "left")
         .join(F.broadcast(total))  # one row
         .select(

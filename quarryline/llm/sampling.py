@@ -31,11 +31,11 @@ def needs(chunks: DataFrame, targets: DataFrame, fraction: int = 20) -> DataFram
     of min_rows and its share of the sample size, rounded up; a null share or minimum counts as 0. Chunks
     with a null ticker, form or item belong to no target. With no chunks every need is min_rows.
     """
-    counts = keyed(chunks).groupBy(*STRATUM).agg(F.count("*").alias("rows_there"))
+    counts = keyed(chunks.select("ticker", "form_type", "item_code")).groupBy(*STRATUM).agg(F.count("*").alias("rows_there"))
     size = counts.agg(F.floor(F.coalesce(F.sum("rows_there"), F.lit(0)) / fraction).alias("sample_size"))
     share = F.round(F.coalesce("target_share", F.lit(0.0)) * F.col("sample_size"), 6)
     return (
-        keyed(targets)
+        keyed(targets.select("target_id", "ticker", "form_type", "item_code", "target_share", "min_rows"))
         .join(counts, STRATUM, "left")
         .join(F.broadcast(size))  # one row
         .withColumn("rows_there", F.coalesce("rows_there", F.lit(0)))

@@ -21,7 +21,8 @@ def records(facts: DataFrame) -> DataFrame:
     trust = F.lit(len(FEEDS))
     for n, name in enumerate(FEEDS):
         trust = F.when(feed == name, F.lit(n)).otherwise(trust)
-    return facts.withColumns(
+    used = ("fact_id", "accession", "concept", "period_start", "period_end", "value", "unit", "label", "fiscal_year", "fiscal_period", "form_type", "is_comparative", "feed", "ingested_at")
+    return facts.select(*used).withColumns(
         {
             "_accession": accession_key("accession"),
             "_concept": concept_key("concept"),
