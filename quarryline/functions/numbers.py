@@ -37,7 +37,7 @@ def power_of_ten(power: Column) -> Column:
 
 def apply_scale(value: Column, power: Column) -> Column:
     """value * 10 ** power, null on overflow or for a null."""
-    return F.try_multiply(value.cast("decimal(30,6)"), power_of_ten(power)).cast(MONEY)
+    return F.try_multiply(value.try_cast("decimal(28,6)"), power_of_ten(power)).try_cast(MONEY)
 
 
 def scale_of(word: Column) -> Column:
@@ -84,5 +84,5 @@ def printed_interval(printed: Column, power: Column) -> Column:
     value = digits.try_cast(MONEY)
     significant = F.length(F.regexp_replace(F.regexp_replace(F.when(places > 0, F.regexp_replace(digits, r"\.", "")).otherwise(F.regexp_replace(digits, "0+$", "")), "^0+", ""), r"\.", ""))
     half = power_of_ten(power - places) / 2
-    mid = F.try_multiply(value, power_of_ten(power))
+    mid = apply_scale(value, power)
     return F.when(significant >= 2, F.struct((mid - half).cast(MONEY).alias("lo"), (mid + half).cast(MONEY).alias("hi")))

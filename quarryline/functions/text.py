@@ -64,4 +64,4 @@ def json_with_keys(text: Column, schema: str, keys: list[str]) -> Column:
 
 def has_word(text: Column, word: Column) -> Column:
     """Whether a word occurs in text, not inside a longer run of letters; case does not count."""
-    return F.lower(text).rlike(F.concat(F.lit(r"(?<![a-z])\Q"), F.lower(word), F.lit(r"\E(?![a-z])")))
+    return F.regexp_like(F.lower(text), F.concat(F.lit(r"(?<![a-z])\Q"), F.lower(word), F.lit(r"\E(?![a-z])")))

@@ -109,7 +109,7 @@ def cost(calls: DataFrame, prices: DataFrame, by: str) -> DataFrame:
 
 
 def consistency(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Per query identical, reordered, different or missing between two runs, and the first rank that differs.
+    """Per query identical, reordered, different or missing between two runs, and the first rank that differs, null for a missing one.
 
     Runs have query_id, rank and doc.
     """

@@ -66,7 +66,7 @@ def shifted(value: Column, power: Column) -> Column:
     out = F.lit(None).cast("decimal(16,6)")
     for p in (-6, -4, -3, -2, 0, 2, 3, 6, 9):
         out = F.when(power == p, F.lit(f"1e{p}").cast("decimal(16,6)")).otherwise(out)
-    return F.try_multiply(value.cast("decimal(28,8)"), out).cast(AMOUNT)
+    return F.try_multiply(value.try_cast("decimal(28,8)"), out).try_cast(AMOUNT)
 
 
 def facts_of(facts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.numbers import caption_scale, figures, power_of_ten, within
+from quarryline.functions.numbers import apply_scale, caption_scale, figures, within
 
 
 def text_numbers(texts: DataFrame, key: str, text: str, caption: Column | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def text_numbers(texts: DataFrame, key: str, text: str, caption: Column | None =
     """
     rows = texts.select(F.col(key).alias("key"), F.explode(figures(F.col(text))).alias("f"), (caption_scale(caption) if caption is not None else F.lit(None).cast("int")).alias("power"))
     worded = F.lower("f.printed").rlike("(thousand|million|billion|trillion)")
-    scaled = F.when(F.col("f.percent") | worded | F.col("power").isNull(), F.col("f.value")).otherwise(F.try_multiply(F.col("f.value"), power_of_ten(F.col("power"))).cast("decimal(38,6)"))
+    scaled = F.when(F.col("f.percent") | worded | F.col("power").isNull(), F.col("f.value")).otherwise(apply_scale(F.col("f.value"), F.col("power")))
     known = F.when(F.col("f.percent"), "percent").when(worded, "word").when(F.col("power").isNotNull(), "caption").otherwise("none")
     return rows.select("key", F.abs(scaled).alias("magnitude"), F.col("f.percent").alias("percent"), known.alias("scale")).filter("magnitude is not null").distinct()
 
@@ -30,7 +30,7 @@ def grounded(claims: DataFrame, numbers: DataFrame) -> DataFrame:
     numbers of the whole answer.
     """
     n = numbers.select("key", F.col("magnitude").alias("m"), F.col("percent").alias("pct"), "scale")
-    loose = n.filter("scale = 'none'").select("key", F.explode(F.transform(F.array(*[F.lit(p) for p in (3, 6, 9, 12)]), lambda p: F.try_multiply(F.col("m"), power_of_ten(p)).cast("decimal(38,6)"))).alias("m"))
+    loose = n.filter("scale = 'none'").select("key", F.explode(F.transform(F.array(*[F.lit(p) for p in (3, 6, 9, 12)]), lambda p: apply_scale(F.col("m"), p))).alias("m"))
     marks = n.select("key", "m", F.col("pct"), F.lit(2).alias("how")).unionByName(loose.select("key", "m", F.lit(False).alias("pct"), F.lit(1).alias("how"))).groupBy("key", "m", "pct").agg(F.max("how").alias("how"))
     hit = claims.join(marks, (claims["key"] == marks["key"]) & (claims["magnitude"] == marks["m"]) & (claims["percent"] == marks["pct"]), "left")
     ids = ["answer_id", "claim_id", "magnitude", "percent"]

@@ -27,7 +27,9 @@ def company_facts(spark: SparkSession, path: str) -> DataFrame:
 def submissions(spark: SparkSession, path: str) -> DataFrame:
     """One row per filing of column-wise listings; pages that lack a column give nulls. Several files are one listing."""
     r = spark.read.schema(SUBMISSIONS).option("multiLine", True).json(path).select("filings.recent.*")
-    return r.select(F.explode(F.arrays_zip("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")).alias("f")).select(
+    none = F.array().cast("array<string>")
+    columns = [F.coalesce(c, none).alias(c) for c in ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")]
+    return r.select(*columns).select(F.explode(F.arrays_zip("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")).alias("f")).select(
         F.col("f.accessionNumber").alias("accession"), F.col("f.form").alias("form_type"), F.col("f.filingDate").try_cast("date").alias("filing_date"),
         F.col("f.reportDate").try_cast("date").alias("period_end"), F.col("f.primaryDocument").alias("document"),
     )
