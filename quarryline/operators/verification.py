@@ -36,10 +36,10 @@ def grounded(claims: DataFrame, numbers: DataFrame) -> DataFrame:
     ids = ["answer_id", "claim_id", "magnitude", "percent"]
     best = hit.groupBy(*ids).agg(F.max("how").alias("how"))
     pool = best.filter("how = 2 and not percent").select("answer_id", F.col("magnitude").alias("x")).distinct()
-    # one answer has few numbers; pairs never leave it
-    a, b = pool.select("answer_id", F.col("x").alias("a")), pool.select("answer_id", F.col("x").alias("b"))
     open_ = best.filter("how is null and not percent").select("answer_id", "claim_id", "magnitude")
-    derived = open_.join(a, "answer_id").join(b, "answer_id").filter("a > b and a - b = magnitude").select("answer_id", "claim_id", "magnitude").distinct().withColumn("_derived", F.lit(True))
+    # the second number follows from the first, so it is looked up instead of paired
+    second = open_.join(pool, "answer_id").select("answer_id", "claim_id", "magnitude", (F.col("x") - F.col("magnitude")).cast("decimal(38,6)").alias("x"))
+    derived = second.join(pool, ["answer_id", "x"], "left_semi").select("answer_id", "claim_id", "magnitude").distinct().withColumn("_derived", F.lit(True))
     out = best.join(derived, ["answer_id", "claim_id", "magnitude"], "left")
     return out.select(*ids, F.when(F.col("how") == 2, "printed").when(F.col("how") == 1, "printed_unscaled").when(F.col("_derived") & ~F.col("percent"), "derived").otherwise("none").alias("how"))
 

@@ -29,7 +29,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return i.filter(F.regexp_extract("item_id", r"-(\d{8})-", 1).try_cast("long") % 20 == 0).withColumn("query_id", F.col("item_id"))
 
 
-def _bm25(spark: SparkSession, d: str, text: str = "text", k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+def _bm25(spark: SparkSession, d: str, text: str = "text", k: int = 10, allowed=None) -> DataFrame:
     return retrieval.bm25(table(spark, d, "chunks"), "chunk_id", text, questions(spark, d).select("query_id", "question"), k, allowed)
 
 
@@ -61,13 +61,13 @@ _WHERE = "WHERE doc IN (SELECT chunk_id FROM chunks WHERE form_type = '10-K' AND
 
 @query(f'WITH {_Q}, {_bm25_sql("b", "text", _WHERE)} SELECT query_id, doc, round(score, 6) AS score, "rank" FROM b')
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d, allowed=retrieval.allowed_docs(table(spark, d, "chunks"), _filters(spark, d), "chunk_id")).select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
+    return _bm25(spark, d, allowed=retrieval.meets(table(spark, d, "chunks"), _filters(spark, d), "chunk_id")).select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f'''WITH {_Q}, {_bm25_sql("b", "text", _WHERE)}, {_bm25_sql("c", "text")} SELECT query_id, doc, "rank", false AS fell_back FROM b
 UNION ALL SELECT query_id, doc, "rank", true AS fell_back FROM c WHERE query_id NOT IN (SELECT query_id FROM b)''')
 def filter_fallback(spark: SparkSession, d: str) -> DataFrame:
-    some = _bm25(spark, d, allowed=retrieval.allowed_docs(table(spark, d, "chunks"), _filters(spark, d), "chunk_id"))
+    some = _bm25(spark, d, allowed=retrieval.meets(table(spark, d, "chunks"), _filters(spark, d), "chunk_id"))
     return retrieval.with_fallback(some, _bm25(spark, d)).select("query_id", "doc", "rank", "fell_back")
 
 

@@ -153,7 +153,7 @@ SELECT event_type, count(*) AS slow FROM events JOIN p USING (event_type) WHERE
 def events_slow(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", "value")
     p = relational.nearest_rank(e, ["event_type"], "value", {"p50": "n div 2"})
-    return e.join(F.broadcast(p), "event_type").filter("value > 3 * p50").groupBy("event_type").agg(F.count("*").alias("slow"))
+    return e.join(p, "event_type").filter("value > 3 * p50").groupBy("event_type").agg(F.count("*").alias("slow"))
 
 
 @query("""SELECT coalesce(event_type, 'all') AS event_type, count(*) AS events, round(avg(value), 6) AS mean, count(DISTINCT user_id) AS users FROM events GROUP BY GROUPING SETS ((event_type), ())""")
