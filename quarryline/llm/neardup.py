@@ -21,16 +21,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import checkpointed
+
 #: Words of a piece, and similarity from which two texts are near-duplicates, where a query names none.
 WORDS, SIMILARITY = 5, 0.8
 #: Bits of a sketch, in words of WORD bits that the tries go down by.
-BITS, WORD = 128, 16
+BITS, WORD = 128, 64
+#: Classes of size that a ratio of sizes equal to the threshold spans.
+CLASSES = 2
 #: Buckets of the histogram of pieces by which rare ones come first; one array of this size is shared with all tasks.
-HISTOGRAM = 1 << 16
+HISTOGRAM, SEGMENTS = 1 << 20, 64
 #: Deviations by which the error budget exceeds the expected number of differing bits.
 DEVIATIONS = 5.0
-#: Sketches of a trie that are joined at once; a larger group is joined part by part.
-PART = 2048
+#: Sketches of a trie that are joined at once, a larger one part by part; pairs of sketches at hand at most; postings gathered before tries are joined.
+PART, PAIRS, GATHERED = 1024, 4_000_000, 100_000
 
 _WORD = re.compile("[a-z0-9]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,11 +73,11 @@ class Pieces:
         return np.unique(out)
 
 
-def set_id(pieces: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
+def set_id(kind: str, pieces: np.ndarray) -> int:
+    """Signed 64-bit name of a set of one kind."""
     from xxhash import xxh3_64_intdigest
 
-    return int(np.uint64(xxh3_64_intdigest(pieces.tobytes())).astype(np.int64))
+    return int(np.uint64(xxh3_64_intdigest(pieces.tobytes(), seed=hash_name(kind))).astype(np.int64))
 
 
 def sketch(pieces: np.ndarray) -> np.ndarray:
@@ -90,74 +94,82 @@ def prefix(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def budget(similarity: float) -> int:
-    """Error budget: expected differing bits at the threshold, plus deviations."""
+def budgets(similarity: float) -> list[int]:
+    """Error budget at every depth: expected differing bits at the threshold, plus deviations."""
     p = (1 - similarity) / 2
-    return math.ceil(BITS * p + DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+    return [math.ceil(b * p + DEVIATIONS * math.sqrt(b * p * (1 - p))) for b in range(WORD, BITS + 1, WORD)]
+
+
+def size_class(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Class of sizes; sets that are similar enough differ by at most CLASSES classes."""
+    return np.floor(np.log(np.maximum(n, 1)) / -math.log(similarity) * CLASSES * (1 - 1e-9)).astype(np.int64)
+
 
+def levels(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For rows sorted by columns: of each level the first row of every node, and of every node the first of its children, with the end."""
+    new, firsts = np.zeros(len(columns[0]), dtype=bool), []
+    new[0] = True
+    for c in columns:
+        new = new.copy()
+        new[1:] |= c[1:] != c[:-1]
+        firsts.append(np.append(np.flatnonzero(new), len(c)))
+    firsts.append(np.arange(len(columns[0]) + 1))  # below the leaves the single rows
+    return firsts, [np.searchsorted(below, above) for above, below in zip(firsts, firsts[1:])]
 
-_ONES = np.array([bin(i).count("1") for i in range(1 << WORD)], dtype=np.uint8)
 
+def expanded(fa: np.ndarray, ta: np.ndarray, fb: np.ndarray, tb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All of fa..ta with all of fb..tb, for every place, and the place."""
+    width = tb - fb
+    total = (ta - fa) * width
+    place = np.repeat(np.arange(len(total)), total)
+    within = np.arange(len(place)) - np.repeat(np.cumsum(total) - total, total)
+    down = within // width[place]
+    return fa[place] + down, fb[place] + within - down * width[place], place
 
-def trie_join(a: np.ndarray, b: np.ndarray | None, errors: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the sketches of a and b (of a and later ones of a, if b is None) that differ in at most `errors` bits.
 
-    Sketches are rows of BITS / WORD numbers. A node of a trie is a run of sorted rows that begin alike; a
-    pair of nodes goes down one word at a time, to the pairs of its children within the budget.
+def trie_join(a: tuple, b: tuple | None, errors: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sketches under one root that differ in no more bits than the budget of every depth.
+
+    a and b are roots, size classes and sketches, rows of BITS / WORD numbers. Without b, of a and later
+    ones of a under the same root; with b, of a and b, which have one root. A node of a trie is a run of
+    sorted rows that begin alike: root, size class, then the words of the sketch. Pairs of nodes go down
+    together to the pairs of their children; they are dropped when the size classes are too far apart or
+    the bits in which they differ, added up, exceed the budget. All tries go down at once.
     """
-    same = b is None
-    order_a = np.lexsort(a.T[::-1])
-    order_b = order_a if same else np.lexsort(b.T[::-1])
-    sa, sb = a[order_a], a[order_a] if same else b[order_b]
-
-    def children(rows: np.ndarray) -> list[np.ndarray]:
-        # for each level the first row of every node, with the end
-        new = np.zeros(len(rows), dtype=bool)
-        new[0] = True
-        out = [np.array([0, len(rows)])]
-        for k in range(rows.shape[1]):
-            new[1:] |= rows[1:, k] != rows[:-1, k]
-            out.append(np.append(np.flatnonzero(new), len(rows)))
-        return out
-
-    la = children(sa)
-    lb = la if same else children(sb)
-    na, nb, cost = np.array([0]), np.array([0]), np.array([0])
-    for k in range(a.shape[1]):
-        # children of node i are the nodes of the next level from its first row on up to its end
-        fa, ta = np.searchsorted(la[k + 1], la[k][na]), np.searchsorted(la[k + 1], la[k][na + 1])
-        fb, tb = np.searchsorted(lb[k + 1], lb[k][nb]), np.searchsorted(lb[k + 1], lb[k][nb + 1])
-        ca, cb = ta - fa, tb - fb
-        total = ca * cb
-        pair = np.repeat(np.arange(len(na)), total)
-        within = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        na2, nb2 = fa[pair] + within // cb[pair], fb[pair] + within % cb[pair]
-        if same:
-            ahead = na2 <= nb2
-            na2, nb2, pair = na2[ahead], nb2[ahead], pair[ahead]
-        spent = cost[pair] + _ONES[sa[la[k + 1][na2], k] ^ sb[lb[k + 1][nb2], k]]
-        alive = spent <= errors
-        na, nb, cost = na2[alive], nb2[alive], spent[alive]
-        if not len(na):
-            break
-    # leaves: runs of equal sketches
-    xs, ys = [], []
-    for i, j in zip(na, nb):
-        ra, rb = order_a[la[-1][i] : la[-1][i + 1]], order_b[lb[-1][j] : lb[-1][j + 1]]
-        if same and i == j:
-            if len(ra) > 1:
-                u, v = np.triu_indices(len(ra), 1)
-                xs.append(ra[u])
-                ys.append(ra[v])
+    sides = []
+    for roots, classes, bits in (a,) if b is None else (a, b):
+        order = np.lexsort((*bits.T[::-1], classes, roots))
+        columns = [roots[order], classes[order], *bits[order].T]
+        sides.append((order, columns, *levels(columns)))
+    (order_a, ca, fa, da), (order_b, cb, fb, db) = sides[0], sides[-1]
+    na = nb = np.arange(len(fa[0]) - 1)
+    cost = np.zeros(len(na), dtype=np.int64)
+    for k in range(len(da)):
+        xa, xb, place = expanded(da[k][na], da[k][na + 1], db[k][nb], db[k][nb + 1])
+        rows = k == len(da) - 1
+        if b is None:
+            ahead = xa < xb if rows else xa <= xb
+            xa, xb, place = xa[ahead], xb[ahead], place[ahead]
+        if rows:
+            return order_a[xa], order_b[xb]
+        left, right = ca[k + 1][fa[k + 1][xa]], cb[k + 1][fb[k + 1][xb]]
+        if k == 0:
+            alive = np.abs(left - right) <= CLASSES
+            cost = np.zeros(int(alive.sum()), dtype=np.int64)
         else:
-            xs.append(np.repeat(ra, len(rb)))
-            ys.append(np.tile(rb, len(ra)))
-    none = np.empty(0, dtype=np.int64)
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (none, none)
+            spent = cost[place] + np.bitwise_count(left ^ right)
+            alive = spent <= errors[k - 1]
+            cost = spent[alive]
+        na, nb = xa[alive], xb[alive]
+    raise AssertionError
 
 
 def histogram(texts: DataFrame, words: int) -> np.ndarray:
-    """How many pieces of all texts fall into each of HISTOGRAM buckets; the size does not depend on the texts."""
+    """How many pieces of all texts fall into each of HISTOGRAM buckets; the size does not depend on the texts.
+
+    Every task sends its counts in segments, which are added up as they come.
+    """
+    part = HISTOGRAM // SEGMENTS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, n = Pieces(words), np.zeros(HISTOGRAM, dtype=np.int64)
@@ -165,43 +177,54 @@ def histogram(texts: DataFrame, words: int) -> np.ndarray:
             got = [pieces(t) for t in rows["text"] if t]
             if got:
                 n += np.bincount((np.concatenate(got) % np.uint64(HISTOGRAM)).astype(np.int64), minlength=HISTOGRAM)
-        used = np.flatnonzero(n)
-        yield pd.DataFrame({"bucket": used, "n": n[used]})
+        n = np.minimum(n, np.iinfo(np.int32).max).astype(np.int32).reshape(SEGMENTS, part)
+        yield pd.DataFrame({"segment": range(SEGMENTS), "counts": [x.tobytes() for x in n]})
 
-    counted = texts.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(HISTOGRAM, dtype=np.int64)
-    for r in counted.collect():  # at most HISTOGRAM rows
-        out[r["bucket"]] = r["n"]
-    return out
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for rows in batches:
+            for k, c in zip(rows["segment"], rows["counts"]):
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, dtype=np.int32).astype(np.int64)
+        if sums:
+            yield pd.DataFrame({"segment": list(sums), "counts": [np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in sums.values()]})
+
+    schema = "segment int, counts binary"
+    summed = texts.select("text").mapInPandas(count, schema).repartition(SEGMENTS // 4, "segment").mapInPandas(add, schema)
+    out = np.zeros((SEGMENTS, part), dtype=np.int32)
+    for r in summed.collect():  # SEGMENTS rows, HISTOGRAM numbers
+        out[r["segment"]] = np.frombuffer(r["counts"], dtype=np.int32)
+    return out.ravel()
 
 
 def postings(texts: DataFrame, words: int, similarity: float, counts: np.ndarray) -> DataFrame:
-    """Per distinct set and piece that roots a trie: kind, root, id, number of pieces and sketch.
+    """Per distinct set and piece that roots a trie: root, id, number of pieces, place of the root among them and sketch.
 
     A set that several texts of a partition share is given once.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, rank, seen = Pieces(words), shared.value, set()
         for rows in batches:
-            roots, ids, sizes, bits = [], [], [], []
+            roots, ids, sizes, places, bits = [], [], [], [], []
             for kind, text in zip(rows["kind"], rows["text"]):
                 own = pieces(text) if text else ()
-                if not len(own) or (kind, i := set_id(own)) in seen:
+                if not len(own) or (i := set_id(kind, own)) in seen:
                     continue
                 if len(seen) < 1_000_000:
-                    seen.add((kind, i))
+                    seen.add(i)
                 common = rank[(own % np.uint64(HISTOGRAM)).astype(np.int64)]
                 first = own[np.lexsort((own, common))[: prefix(len(own), similarity)]]
                 # kinds never meet, as the kind is part of the root
                 roots.append((first * np.uint64(2 * abs(hash_name(kind)) + 1)).view(np.int64))
                 ids.append(np.full(len(first), i))
                 sizes.append(np.full(len(first), len(own), dtype=np.int32))
+                places.append(np.arange(len(first), dtype=np.int32))
                 bits += [sketch(own).tobytes()] * len(first)
-            yield pd.DataFrame({"root": np.concatenate(roots) if roots else np.empty(0, np.int64), "id": np.concatenate(ids) if ids else np.empty(0, np.int64), "pieces": np.concatenate(sizes) if sizes else np.empty(0, np.int32), "bits": bits})
+            if roots:
+                yield pd.DataFrame({"root": np.concatenate(roots), "id": np.concatenate(ids), "pieces": np.concatenate(sizes), "place": np.concatenate(places), "bits": bits})
 
-    return texts.select("kind", "text").mapInPandas(post, "root long, id long, pieces int, bits binary")
+    return texts.select("kind", "text").mapInPandas(post, "root long, id long, pieces int, place int, bits binary")
 
 
 def hash_name(name: str) -> int:
@@ -213,55 +236,66 @@ def hash_name(name: str) -> int:
 def candidates(posted: DataFrame, similarity: float) -> DataFrame:
     """Pairs of set ids, smaller first, that some trie brings to its leaves within the error budget, once each.
 
-    Groups are sorted by root and go through in order; a group is joined in parts of PART sketches, each
-    with itself and with those before, so memory follows the sketches of one group.
+    Postings are sorted by root. Small tries go down together; a trie of more than PART sketches is joined
+    part by part, so the work at hand is bounded and memory follows the sketches of one root. A pair also
+    has to have sizes that allow the similarity, and enough pieces left from the shared root on.
     """
-    errors = budget(similarity)
+    errors = budgets(similarity)
+
+    def met(x: np.ndarray, y: np.ndarray, a: tuple, b: tuple) -> pd.DataFrame:
+        i, j, n, m = a[1][x], b[1][y], a[2][x], b[2][y]
+        least = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+        ok = (i != j) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - a[3][x], m - b[3][y]) >= least)
+        i, j = i[ok], j[ok]
+        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
+
+    def joined(p: tuple, q: tuple | None) -> pd.DataFrame:
+        side = lambda x: (x[0], size_class(x[2], similarity), x[4])
+        return met(*trie_join(side(p), None if q is None else side(q), errors), p, p if q is None else q)
+
+    def tries(rows: tuple) -> Iterator[pd.DataFrame]:
+        # rows hold whole tries: roots, ids, sizes, places, sketches
+        cut = np.flatnonzero(np.diff(rows[0])) + 1
+        starts, ends = np.append(0, cut), np.append(cut, len(rows[0]))
+        width = ends - starts
+        small = (width > 1) & (width <= PART)
+        keep = np.repeat(small, width)
+        few = tuple(x[keep] for x in rows)
+        # as many tries at once as make a bounded number of pairs at the first level
+        pairs = np.cumsum(width[small].astype(np.int64) ** 2)
+        bounds = np.cumsum(width[small])
+        done = taken = 0
+        while done < len(bounds):
+            upto = max(done + 1, int(np.searchsorted(pairs, (pairs[done - 1] if done else 0) + PAIRS, "right")))
+            part = tuple(x[taken : bounds[upto - 1]] for x in few)
+            done, taken = upto, bounds[upto - 1]
+            yield joined(part, None)
+        for lo, hi in zip(starts[width > PART], ends[width > PART]):
+            first = np.unique(rows[1][lo:hi], return_index=True)[1] + lo  # a set that several partitions posted
+            parts = [tuple(x[first[k : k + PART]] for x in rows) for k in range(0, len(first), PART)]
+            for n, p in enumerate(parts):
+                yield joined(p, None)
+                for q in parts[:n]:
+                    yield joined(p, q)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        root = None
-
-        def meet(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, old: tuple | None) -> pd.DataFrame | None:
-            x, y = trie_join(bits if old is None else old[2], None if old is None else bits, errors)
-            if not len(x):
-                return None
-            a, b = (ids if old is None else old[0])[x], ids[y]
-            n, m = (sizes if old is None else old[1])[x], sizes[y]
-            ok = (a != b) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
-            return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]}) if ok.any() else None
-
-        def parts(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
-            for lo in range(0, len(rows[0]), PART):
-                own = tuple(x[lo : lo + PART] for x in rows)
-                for old in [*held, None]:
-                    if (found := meet(*own, old)) is not None:
-                        yield found.drop_duplicates()
-                held.append(own)
-
-        for rows in batches:
-            if not len(rows):
+        held: list[tuple] = []
+        size = 0
+        for b in batches:
+            if not len(b):
                 continue
-            roots, ids, sizes = rows["root"].to_numpy(), rows["id"].to_numpy(), rows["pieces"].to_numpy()
-            bits = np.frombuffer(b"".join(rows["bits"]), dtype=">u2").astype(np.int64).reshape(len(rows), BITS // WORD)
-            cut = np.flatnonzero(np.diff(roots)) + 1
-            starts, ends = np.append(0, cut), np.append(cut, len(rows))
-            out = []
-            for lo, hi in zip(starts, ends):
-                if roots[lo] != root:
-                    root, held = roots[lo], []
-                last = hi == len(rows)
-                if hi - lo == 1 and not held and not last:  # a trie of one sketch
-                    continue
-                if hi - lo == 2 and not held and not last:
-                    i, j = lo, lo + 1
-                    if ids[i] != ids[j] and _ONES[bits[i] ^ bits[j]].sum() <= errors and min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]) - 1e-9:
-                        out.append(pd.DataFrame({"a": [min(ids[i], ids[j])], "b": [max(ids[i], ids[j])]}))
-                    continue
-                keep = np.unique(ids[lo:hi], return_index=True)[1] + lo
-                out += parts((ids[keep], sizes[keep], bits[keep]))
-            if out:
-                yield pd.concat(out).drop_duplicates()
+            sketches = np.frombuffer(b"".join(b["bits"]), dtype=">u8").astype(np.uint64).reshape(len(b), BITS // WORD)
+            held.append((*(b[c].to_numpy() for c in ("root", "id", "pieces", "place")), sketches))
+            size += len(b)
+            if size < GATHERED:
+                continue
+            rows = tuple(np.concatenate(x) for x in zip(*held))
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last trie may go on
+            yield from tries(tuple(x[:last] for x in rows))
+            held = [tuple(x[last:] for x in rows)]
+            size = min(len(rows[0]) - last, GATHERED // 2)
+        if held:
+            yield from tries(tuple(np.concatenate(x) for x in zip(*held)))
 
     found = posted.repartition("root").sortWithinPartitions("root").mapInPandas(join, "a long, b long")
     return found.distinct()
@@ -290,13 +324,13 @@ def identified(texts: DataFrame, words: int) -> DataFrame:
     """kind, key and id of the set of every text; texts too short for a piece are left out."""
 
     @F.pandas_udf("long")
-    def name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def name(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         pieces = Pieces(words)
-        for rows in batches:
+        for kinds, rows in batches:
             got = (pieces(t) if t else () for t in rows)
-            yield pd.Series([set_id(p) if len(p) else None for p in got], dtype="Int64")
+            yield pd.Series([set_id(k, p) if len(p) else None for k, p in zip(kinds, got)], dtype="Int64")
 
-    return texts.select("kind", "key", "text", name("text").alias("id")).filter("id is not null and key is not null")
+    return texts.select("kind", "key", name("kind", "text").alias("id")).filter("id is not null")
 
 
 def similar_sets(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -304,14 +338,16 @@ def similar_sets(texts: DataFrame, words: int = WORDS, similarity: float = SIMIL
 
     texts has kind, key and text; only texts of one kind are compared.
     """
-    texts = texts.filter("text is not null")
-    named = identified(texts, words)
-    pairs = candidates(postings(texts, words, similarity, histogram(texts, words)), similarity)
+    texts = texts.filter("text is not null and key is not null")
+    named = checkpointed(identified(texts, words))
+    pairs = checkpointed(candidates(postings(texts, words, similarity, histogram(texts, words)), similarity))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    chosen = named.join(ids, "id", "left_semi").groupBy("id").agg(F.min_by("text", "key").alias("text"))
-    a, b = chosen.select(F.col("id").alias("a"), F.col("text").alias("text_a")), chosen.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    # the text of each set in a pair, from the first of its keys
+    chosen = named.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("kind", "key")).alias("first")).select("id", "first.kind", "first.key")
+    shown = checkpointed(chosen.join(texts, ["kind", "key"]).dropDuplicates(["id"]).select("id", "text"))
+    a, b = shown.select(F.col("id").alias("a"), F.col("text").alias("text_a")), shown.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     exact = pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(words)("text_a", "text_b").alias("similarity"))
-    return exact.filter(F.col("similarity") >= similarity - 1e-9), named.select("kind", "key", "id")
+    return exact.filter(F.col("similarity") >= similarity - 1e-9), named
 
 
 def pairs(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -330,6 +366,41 @@ def pairs(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     return both.select("kind", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
 
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """id and the smallest id of its component, for the ids of a, b edges.
+
+    Labels go over edges and then jump to the label of their label; each round is checkpointed, and as
+    jumps double the reach, rounds follow the logarithm of the longest path.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    for _ in range(rounds):
+        heard = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
+        near = labels.join(heard, "id").select("id", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        new = checkpointed(near.join(up, "label", "left").select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        if new.filter("label <> old").isEmpty():
+            break
+        labels = new.select("id", "label")
+    return labels
+
+
+def groups(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """kind, key, group_id and links of every text: the smallest key of all that near-duplicates connect it with, and with how many other keys it is similar.
+
+    A text without a near-duplicate is a group of its own; null and shorter texts are left out, repeated
+    keys count once. Copies are counted, not paired.
+    """
+    exact, named = similar_sets(texts, words, similarity)
+    exact, named = checkpointed(exact), named.distinct()
+    sizes = named.groupBy("id").agg(F.count("*").alias("copies"))
+    ends = exact.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(exact.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    linked = ends.join(sizes.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("copies").alias("near"))
+    placed = named.join(sizes, "id").join(linked, "id", "left").join(components(exact), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    first = placed.groupBy("label").agg(F.min("key").alias("group_id"))
+    return placed.join(first, "label").select("kind", "key", "group_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+
+
 def texts_of(*parts: tuple[DataFrame, str, str, str]) -> DataFrame:
     """kind, key and text of several tables, each given as table, kind, key and text."""
     out = None

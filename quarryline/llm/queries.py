@@ -40,6 +40,7 @@ QUERIES = {
     "p3_sample": _on("chunks", "sample_targets")(sampling.sample),
     "p3_report": _on("chunks", "sample_targets")(sampling.report),
     "p4_found": _on("chunks", "eval_items")(lambda c, e: neardup.pairs(_records(c, e), *P4).withColumnRenamed("kind", "record_kind")),
+    "p4_groups": _on("chunks", "eval_items")(lambda c, e: neardup.groups(_records(c, e), *P4).withColumnRenamed("kind", "record_kind")),
     "p5_found": _on("chunks")(lambda c: neighbours.close_pairs(c, "chunk_id", "embedding", 5, 0.85).withColumnsRenamed({"a": "chunk_id_a", "b": "chunk_id_b"})),
     "p5_neighbours": _on("chunks")(lambda c: neighbours.neighbours(c, "chunk_id", "embedding", 5)),
     "p7_found": _on("xbrl_facts")(survivors.found),

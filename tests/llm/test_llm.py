@@ -158,19 +158,18 @@ def test_near_duplicates_equal_brute_force(spark, n, s):
     assert neardup.pairs(df.limit(0), n, s).count() == 0
 
 
-def test_trie_join_in_parts_equals_all_pairs(monkeypatch, spark):
+def test_trie_join_equals_all_pairs():
     r = np.random.RandomState(2)
-    base = r.randint(0, 1 << 16, (40, 8))
-    rows = np.concatenate([base, base ^ (1 << r.randint(0, 16, (40, 8))), base[:9]])
-    roots = np.sort(r.randint(0, 4, len(rows)))
-    ones = lambda i, j: sum(bin(int(v)).count("1") for v in rows[i] ^ rows[j])
-    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if roots[i] == roots[j] and ones(i, j) <= 30}
-    x, y = neardup.trie_join(roots, rows, None, None, 30)
+    base = r.randint(0, 1 << 62, (40, 2)).astype(np.uint64)
+    rows = np.concatenate([base, base ^ (np.uint64(1) << r.randint(0, 64, (40, 2)).astype(np.uint64)), base[:9]])
+    roots, classes = np.sort(r.randint(0, 4, len(rows))), r.randint(0, 6, len(rows))
+    ones = lambda i, j: np.cumsum([bin(int(v)).count("1") for v in rows[i] ^ rows[j]])
+    near = lambda i, j: abs(classes[i] - classes[j]) <= neardup.CLASSES and all(ones(i, j) <= [30, 55])
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if roots[i] == roots[j] and near(i, j)}
+    x, y = neardup.trie_join((roots, classes, rows), None, [30, 55])
     assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())} == want and len(x) == len(want)
-    monkeypatch.setattr(neardup, "PART", 3)  # only the driver's copy, so parts are checked on the function
-    one = np.zeros(20, dtype=int), np.zeros(12, dtype=int)
-    x, y = neardup.trie_join(one[0], rows[:20], one[1], rows[20:32], 30)
-    assert {(i, j) for i, j in zip(x.tolist(), y.tolist())} == {(i, j) for i in range(20) for j in range(12) if ones(i, j + 20) <= 30}
+    x, y = neardup.trie_join((np.zeros(20), classes[:20], rows[:20]), (np.zeros(12), classes[20:32], rows[20:32]), [30, 55])
+    assert {(i, j) for i, j in zip(x.tolist(), y.tolist())} == {(i, j) for i in range(20) for j in range(12) if near(i, j + 20)}
 
 
 # 5 neighbours
