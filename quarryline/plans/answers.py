@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.numbers import is_value
 from quarryline.functions.text import tokens
-from quarryline.operators import chunking, datasets, documents, metrics, retrieval, verification
+from quarryline.operators import chunking, datasets, documents, metrics, retrieval, scoring, verification
 from quarryline.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -303,6 +303,23 @@ def answer_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return verification.verdicts(ok.withColumns(checks), 0.5)
 
 
+@query()
+def answers_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Numeric scores of an answerer that quotes the first cited chunk."""
+    i = table(spark, d, "eval_items").select("item_id", "reference_answer", F.try_element_at(F.flatten("gold_evidence_sets"), F.lit(1)).alias("chunk_id"))
+    c = table(spark, d, "chunks").select("chunk_id", F.col("raw_text").alias("answer"))
+    return scoring.numeric_scores(i.join(c, "chunk_id", "left"))
+
+
+@query("""WITH s AS (SELECT DISTINCT span_id, chunk_id, char_start f, char_end t FROM xbrl_spans WHERE chunk_id IS NOT NULL), x AS (SELECT span_id, c.raw_text r, f - c.char_start a, t - c.char_start b FROM s JOIN chunks c USING (chunk_id)),
+y AS (SELECT span_id, regexp_replace(rtrim(substring(r, greatest(1, a - 2), least(a, 3))), '[ $]+$', '') p, ltrim(substring(r, b + 1, 3)) q FROM x WHERE a >= 0)
+SELECT CASE WHEN ends_with(p, '(') AND starts_with(q, ')') THEN 'brackets' WHEN regexp_matches(p, '[-−–]$') THEN 'minus' ELSE 'plain' END AS sign, count(*) AS spans FROM y GROUP BY 1""")
+def signs_around_spans(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "xbrl_spans").filter("chunk_id is not null").select("span_id", "chunk_id", F.col("char_start").alias("f"), F.col("char_end").alias("t")).distinct()
+    x = s.join(table(spark, d, "chunks").select("chunk_id", "raw_text", "char_start"), "chunk_id").select("raw_text", (F.col("f") - F.col("char_start")).alias("a"), (F.col("t") - F.col("char_start")).alias("b"))
+    return x.filter("a >= 0").groupBy(scoring.printed_sign(F.col("raw_text"), F.col("a"), F.col("b")).alias("sign")).agg(F.count("*").alias("spans"))
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as pages of markup: prose lines as paragraphs, table rows as rows."""
     c = table(spark, d, "chunks").select("chunk_id", F.split("raw_text", "\n").alias("lines"))

@@ -40,6 +40,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["answers_grounded", "answer_verdicts", "page_blocks", "page_sections", "documents_chunked", "documents_sentences", "corpus_key", "p6_amounts", "p6_unit_sources"])
+@pytest.mark.parametrize("name", ["answers_grounded", "answers_scored", "answer_verdicts", "page_blocks", "page_sections", "documents_chunked", "documents_sentences", "corpus_key", "p6_amounts", "p6_unit_sources"])
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() >= 0
