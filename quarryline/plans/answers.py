@@ -171,13 +171,13 @@ _SCORED = "SELECT length(question) s, expected_abstain y FROM eval_items WHERE e
 @query(f"""WITH r AS ({_SCORED}), c AS (SELECT s, count(*) FILTER (WHERE y) p, count(*) FILTER (WHERE NOT y) q FROM r GROUP BY 1), w AS (SELECT *, coalesce(sum(q) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM c)
 SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(q) AS BIGINT) AS negatives, round(sum(p * (b + q / 2)) / nullif(sum(p) * sum(q), 0), 6) AS auc FROM w""")
 def score_auc(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.auc(table(spark, d, "eval_items").withColumn("s", F.length("question")), "s", "expected_abstain")
+    return metrics.auc(table(spark, d, "eval_items").withColumn("s", F.length("question").cast("long")), "s", "expected_abstain")
 
 
 @query(f"""WITH r AS ({_SCORED}), c AS (SELECT s, count(*) FILTER (WHERE y) p, count(*) FILTER (WHERE NOT y) q FROM r GROUP BY 1),
 w AS (SELECT s, round(sum(p) OVER (ORDER BY s DESC) / sum(p) OVER () - sum(q) OVER (ORDER BY s DESC) / sum(q) OVER (), 6) j FROM c) SELECT s AS cut, j AS youden FROM w ORDER BY j DESC, s LIMIT 1""")
 def youden_cut(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.youden(table(spark, d, "eval_items").withColumn("s", F.length("question")), "s", "expected_abstain")
+    return metrics.youden(table(spark, d, "eval_items").withColumn("s", F.length("question").cast("long")), "s", "expected_abstain")
 
 
 @query("""WITH p(model, a, b) AS (VALUES ('view', 3.0, 15.0), ('click', 0.5, 1.5), ('signup', 1.0, 5.0)), c AS (SELECT user_id, event_type model, event_id % 1000 i, CASE WHEN event_type <> 'error' THEN event_id % 77 END o FROM events),
