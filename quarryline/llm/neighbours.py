@@ -21,12 +21,14 @@ from quarryline.session import checkpointed
 PIVOTS_PER_ROOT, FEWEST, MOST = 13, 16, 16_384
 #: Nearest pivots of a vector, in whose files it is posted and searched.
 DEPTH = 16
-#: Depth that is enough for neighbours of high similarity, as they share most pivots.
-CLOSE_DEPTH = 8
 #: Vectors of a file that are reranked for each query by exact cosine.
 RERANKED = 96
 #: Vectors of a file that are handled at once.
 PART = 2048
+#: Exact search: most vectors of a block, and blocks that are made of fewer where there are enough for tiles.
+BLOCK, LEAST_BLOCKS = 32_768, 8
+#: Exact search: vectors of a tile, float32 error that a bar allows for, and products in float64 made at once.
+TILE, SLACK, PRODUCTS = 2048, 1e-5, 65_536
 
 
 def unit(values: list) -> np.ndarray:
@@ -94,29 +96,115 @@ def search(ids_q, perm_q, x_q, ids_o, perm_o, x_o, k: int, least: float, depth:
     return ids_q[q], ids_o[first[q, c]], cosine[q, c]
 
 
-def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0, depth: int = DEPTH) -> DataFrame:
-    """key, neighbour, cosine and rank of the k most similar other vectors of every vector, of cosine `least` at least.
-
-    Vectors of one direction are searched once; each of their keys has the others as neighbours of cosine
-    1, smaller keys first, as at any tie. Null, empty and all-zero vectors, and vectors with a null or nan
-    inside, take no part. All vectors have one length. With fewer than k others a key has fewer rows.
+class Best:
+    """The k best others of each vector of a tile so far."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, least: float):
+        self.ids, self.x, self.k, self.least = ids, x, k, least
+        self.cosine, self.other = np.full((len(ids), k), -9.0), np.zeros((len(ids), k), dtype=np.int64)
+
+    def take(self, c: np.ndarray, tile: Best) -> None:
+        """Take over what c, the float32 cosines to another tile, can add; the cosines kept are float64."""
+        bar = np.maximum(self.cosine[:, -1], self.least) - SLACK
+        hit = c >= bar[:, None]
+        if np.count_nonzero(hit) > 4 * self.k * len(c) and c.shape[1] >= self.k:
+            # the best of k parts are k others, so the k-th best is no worse than the worst of them
+            tops = np.minimum.reduce([part.max(axis=1) for part in np.array_split(c, self.k, axis=1)])
+            hit = c >= np.maximum(bar, tops - SLACK)[:, None]
+        row, col = np.nonzero(hit)
+        if not len(row):
+            return
+        exact = np.concatenate([
+            np.einsum("rd,rd->r", self.x[row[lo : lo + PRODUCTS]].astype(np.float64), tile.x[col[lo : lo + PRODUCTS]].astype(np.float64))
+            for lo in range(0, len(row), PRODUCTS)
+        ])
+        good = (exact >= self.least) & (self.ids[row] != tile.ids[col])
+        row, other, exact = row[good], tile.ids[col[good]], exact[good]
+        at = np.unique(row)
+        row = np.concatenate([np.repeat(at, self.k), row])
+        other, exact = np.concatenate([self.other[at].ravel(), other]), np.concatenate([self.cosine[at].ravel(), exact])
+        order = np.lexsort((other, -exact, row))
+        row, other, exact = row[order], other[order], exact[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        kept = place < self.k
+        self.cosine[row[kept], place[kept]], self.other[row[kept], place[kept]] = exact[kept], other[kept]
+
+    def found(self) -> pd.DataFrame:
+        r, c = np.nonzero(self.cosine > -9)
+        return pd.DataFrame({"q": self.ids[r], "o": self.other[r, c], "cosine": self.cosine[r, c]})
+
+
+def best_of_blocks(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, k: int, least: float) -> pd.DataFrame:
+    """q, o and cosine of the k best others of every vector of two blocks in the other block, or of one block in itself."""
+    tiles = [[Best(ids[lo : lo + TILE], x[lo : lo + TILE], k, least) for lo in range(0, len(ids), TILE)] for ids, x in ([left, right] if right else [left])]
+    for n, a in enumerate(tiles[0]):
+        for b in tiles[1] if right else tiles[0][n:]:
+            c = a.x @ b.x.T
+            if a is b:
+                np.fill_diagonal(c, -9)
+                a.take(c, a)
+            else:
+                a.take(c, b)
+                b.take(c.T, a)
+    return pd.concat([t.found() for side in tiles for t in side])
+
+
+def exact_hits(rows: DataFrame, n: int, k: int, least: float) -> DataFrame:
+    """q, o and cosine: among them the k best other directions of every direction of at most n rows; no pair is left out.
+
+    Directions are parted into blocks by their name; every two blocks meet in one group, tile by tile, so
+    memory follows the block and the products follow the square of the number of directions.
     """
-    rows = usable(vectors, key, vector)
-    n = rows.count()
+    parts = max(1, -(-n // BLOCK), min(LEAST_BLOCKS, -(-n // TILE)))
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = unit(b["v"].tolist())
+                ids, first = np.unique(vector_ids(x), return_index=True)
+                yield pd.DataFrame({"vid": ids, "body": [v.tobytes() for v in x[first].astype(np.float32)]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, held = None, []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            if not held:
+                return
+            block, ids, x = (np.concatenate(h) for h in zip(*held))
+            held.clear()
+            lo, hi = divmod(int(pair), parts)
+            sides = [(ids[block == side], x[block == side]) for side in sorted({lo, hi})]
+            if all(len(i) for i, _ in sides):
+                yield best_of_blocks(sides[0], sides[1] if lo < hi else None, k, least)
+
+        for b in batches:
+            if not len(b):
+                continue
+            pairs, blocks, ids = b["pair"].to_numpy(), b["block"].to_numpy(), b["vid"].to_numpy()
+            x = np.frombuffer(b"".join(b["body"]), dtype=np.float32).reshape(len(b), -1)
+            cut = np.flatnonzero(np.diff(pairs)) + 1
+            for lo, hi in zip(np.append(0, cut), np.append(cut, len(b))):
+                if pairs[lo] != pair:
+                    yield from flush()
+                    pair = pairs[lo]
+                held.append((blocks[lo:hi], ids[lo:hi], x[lo:hi]))
+        yield from flush()
+
+    once = rows.mapInPandas(post, "vid long, body binary").groupBy("vid").agg(F.min("body").alias("body"))
+    blocks = once.withColumn("block", F.pmod("vid", F.lit(parts))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = blocks.select((F.least("block", "other") * parts + F.greatest("block", "other")).alias("pair"), "block", "vid", "body")
+    met = pairs.repartition(min(parts * (parts + 1) // 2, 10_000), "pair").sortWithinPartitions("pair")
+    return met.mapInPandas(meet, "q long, o long, cosine double")
+
+
+def index_hits(rows: DataFrame, n: int, k: int, least: float, depth: int) -> DataFrame:
+    """q, o and cosine of neighbours that the permutation index finds, some of them more than once."""
     wanted = int(min(MOST, max(FEWEST, PIVOTS_PER_ROOT * n**0.5)))
     share = int(min(1.0, 2.0 * wanted / max(1, n)) * (1 << 40))
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit(9), "key"), F.lit(1 << 40)) < share).limit(wanted).collect()  # at most MOST vectors
-    kind = dict(rows.dtypes)["key"]
-    if not drawn:
-        return vectors.sparkSession.createDataFrame([], f"{key} {kind}, neighbour {kind}, cosine double, rank int")
     pivots = np.unique(unit([r["v"] for r in drawn]).astype(np.float32), axis=0)
     depth = min(depth, len(pivots))
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
-
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"key": b["key"], "vid": vector_ids(unit(b["v"].tolist()))})
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,7 +222,6 @@ def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: flo
                 "body": [p for row in body for p in [row.tobytes()] * depth],
             })
 
-    named = rows.mapInPandas(name, f"key {kind}, vid long")
     posted = rows.mapInPandas(post, "pivot int, vid long, perm binary, body binary")
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +265,30 @@ def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: flo
                 yield pd.concat(out)
         yield from flush()
 
-    hits = posted.repartition("pivot").sortWithinPartitions("pivot").mapInPandas(files, "q long, o long, cosine double")
+    return posted.repartition("pivot").sortWithinPartitions("pivot").mapInPandas(files, "q long, o long, cosine double")
+
+
+def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0, depth: int | None = DEPTH) -> DataFrame:
+    """key, neighbour, cosine and rank of the k most similar other vectors of every vector, of cosine `least` at least.
+
+    Vectors of one direction are searched once; each of their keys has the others as neighbours of cosine
+    1, smaller keys first, as at any tie. Null, empty and all-zero vectors, and vectors with a null or nan
+    inside, take no part. All vectors have one length. With fewer than k others a key has fewer rows.
+    Without a depth the search is exact.
+    """
+    rows = usable(vectors, key, vector)
+    n = rows.count()
+    kind = dict(rows.dtypes)["key"]
+    if not n:
+        return vectors.sparkSession.createDataFrame([], f"{key} {kind}, neighbour {kind}, cosine double, rank int")
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"key": b["key"], "vid": vector_ids(unit(b["v"].tolist()))})
+
+    named = rows.mapInPandas(name, f"key {kind}, vid long")
+    hits = exact_hits(rows, n, k, least) if depth is None else index_hits(rows, n, k, least, depth)
     best = Window.partitionBy("q").orderBy(F.desc("cosine"), "o")
     near = hits.groupBy("q", "o").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
     named = checkpointed(named)
@@ -196,5 +306,5 @@ def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: flo
 
 def close_pairs(vectors: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
     """Pairs of keys, smaller first, of cosine `least` at least, of which one has the other among its k most similar."""
-    found = neighbours(vectors, key, vector, k, least, CLOSE_DEPTH)
+    found = neighbours(vectors, key, vector, k, least, None)
     return found.select(F.least(key, "neighbour").alias("a"), F.greatest(key, "neighbour").alias("b")).distinct()

@@ -197,6 +197,32 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.neighbours(df.limit(0), "id", "e").count() == 0
 
 
+def crowded(n, seed=5):
+    """Vectors of which a third lie in one cluster, where members have a cosine of about 0.9."""
+    r = np.random.RandomState(seed)
+    x = r.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[: n // 3] = x[0] + 0.333 * x[: n // 3]
+    return x[r.permutation(n)].astype(np.float32)
+
+
+def nearest_five(x):
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    top = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    return {(i, int(j)): s[i, j] for i in range(len(x)) for j in top[i]}
+
+
+def test_close_pairs_are_whole_in_one_cluster(spark):
+    x = crowded(6000)
+    want = {tuple(sorted(p)) for p, c in nearest_five(x).items() if c >= 0.85}
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, e array<float>")
+    got = {tuple(p) for p in neighbours.close_pairs(df, "id", "e", 5, 0.85).collect()}
+    assert len(want) > 5000 and got == want, (len(want), len(want & got), len(got))
+
+
 def test_footrule_of_orders():
     r = np.random.RandomState(0)
     a, b = (np.array([r.permutation(12)[:5] for _ in range(n)]) for n in (7, 9))
