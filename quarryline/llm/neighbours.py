@@ -1,9 +1,8 @@
-"""Most similar vectors of every vector by a permutation index.
+"""Most similar vectors of every vector, exactly.
 
-A vector is represented by its nearest pivots in order. It is posted in the inverted file of each of
-them, with that order. In a file, vectors are ranked for each query vector by the footrule distance of
-the orders, and the first of them again by their exact cosine. Pivots are drawn from the vectors, so
-dense places have many and no file grows with a cluster.
+Vectors of one direction are one. Directions are parted into blocks; every two blocks meet once, tile by
+tile, and each tile keeps the best that it has met. No pair is left out, so results depend neither on
+dense places nor on the size of the table.
 """
 
 from __future__ import annotations
@@ -17,17 +16,9 @@ from pyspark.sql import functions as F
 
 from quarryline.session import checkpointed
 
-#: Pivots per square root of the number of vectors, and bounds; the index is fitted on as many vectors.
-PIVOTS_PER_ROOT, FEWEST, MOST = 13, 16, 16_384
-#: Nearest pivots of a vector, in whose files it is posted and searched.
-DEPTH = 16
-#: Vectors of a file that are reranked for each query by exact cosine.
-RERANKED = 96
-#: Vectors of a file that are handled at once.
-PART = 2048
-#: Exact search: most vectors of a block, and blocks that are made of fewer where there are enough for tiles.
+#: Most vectors of a block, and blocks that are made of fewer where there are enough for tiles.
 BLOCK, LEAST_BLOCKS = 32_768, 8
-#: Exact search: vectors of a tile, float32 error that a bar allows for, and products in float64 made at once.
+#: Vectors of a tile, float32 error that a bar allows for, and products in float64 made at once.
 TILE, SLACK, PRODUCTS = 2048, 1e-5, 65_536
 
 
@@ -52,17 +43,6 @@ def vector_ids(x: np.ndarray) -> np.ndarray:
     return np.array([xxh3_64_intdigest(row.tobytes()) for row in np.round(x, 6) + 0.0], dtype=np.uint64).view(np.int64)
 
 
-def nearest(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
-    """Numbers of the nearest pivots of every vector, nearest first."""
-    out = np.empty((len(x), depth), dtype=np.int16)
-    for lo in range(0, len(x), 4096):
-        near = x[lo : lo + 4096].astype(np.float32) @ pivots.T
-        first = np.argpartition(-near, depth - 1, axis=1)[:, :depth] if depth < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
-        order = np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable")
-        out[lo : lo + 4096] = np.take_along_axis(first, order, 1)
-    return out
-
-
 def footrule_shared(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """How much the orders of a and b agree: the footrule distance is depth * (depth + 1) less twice this.
 
@@ -82,20 +62,6 @@ def footrule_shared(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     return both.reshape(n, m)
 
 
-def search(ids_q, perm_q, x_q, ids_o, perm_o, x_o, k: int, least: float, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, object ids and cosines of the k best objects of each query among those reranked."""
-    shared = footrule_shared(perm_q, perm_o, depth)
-    shared[ids_q[:, None] == ids_o[None, :]] = -1
-    width = min(RERANKED, shared.shape[1])
-    first = np.argpartition(-shared, width - 1, axis=1)[:, :width] if width < shared.shape[1] else np.tile(np.arange(shared.shape[1]), (len(shared), 1))
-    cosine = np.einsum("qd,qcd->qc", x_q, x_o[first])
-    cosine[np.take_along_axis(shared, first, 1) < 0] = -2
-    best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-    cosine, first = np.take_along_axis(cosine, best, 1), np.take_along_axis(first, best, 1)
-    q, c = np.nonzero(cosine >= max(least, -1.5))
-    return ids_q[q], ids_o[first[q, c]], cosine[q, c]
-
-
 class Best:
     """The k best others of each vector of a tile so far."""
 
@@ -197,84 +163,13 @@ def exact_hits(rows: DataFrame, n: int, k: int, least: float) -> DataFrame:
     return met.mapInPandas(meet, "q long, o long, cosine double")
 
 
-def index_hits(rows: DataFrame, n: int, k: int, least: float, depth: int) -> DataFrame:
-    """q, o and cosine of neighbours that the permutation index finds, some of them more than once."""
-    wanted = int(min(MOST, max(FEWEST, PIVOTS_PER_ROOT * n**0.5)))
-    share = int(min(1.0, 2.0 * wanted / max(1, n)) * (1 << 40))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(9), "key"), F.lit(1 << 40)) < share).limit(wanted).collect()  # at most MOST vectors
-    pivots = np.unique(unit([r["v"] for r in drawn]).astype(np.float32), axis=0)
-    depth = min(depth, len(pivots))
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
-
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            x = unit(b["v"].tolist())
-            ids, first = np.unique(vector_ids(x), return_index=True)
-            x = x[first]
-            perm = nearest(x, shared.value, depth)
-            body = x.astype(np.float32)
-            yield pd.DataFrame({
-                "pivot": perm.ravel().astype(np.int32),
-                "vid": np.repeat(ids, depth),
-                "perm": [p for row in perm for p in [row.tobytes()] * depth],
-                "body": [p for row in body for p in [row.tobytes()] * depth],
-            })
-
-    posted = rows.mapInPandas(post, "pivot int, vid long, perm binary, body binary")
-
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivot, held, waiting = None, [], []
-
-        def flush() -> Iterator[pd.DataFrame]:
-            # a part of the file against itself and the parts before, in both directions
-            if not waiting:
-                return
-            ids = np.concatenate([w[0] for w in waiting])
-            ids, first = np.unique(ids, return_index=True)
-            part = (ids, np.concatenate([w[1] for w in waiting])[first], np.concatenate([w[2] for w in waiting])[first])
-            waiting.clear()
-            found = [search(*part, *part, k, least, depth)]
-            for old in held:
-                found += [search(*part, *old, k, least, depth), search(*old, *part, k, least, depth)]
-            held.append(part)
-            q, o, c = (np.concatenate(x) for x in zip(*found))
-            if len(q):
-                yield pd.DataFrame({"q": q, "o": o, "cosine": c})
-
-        for b in batches:
-            if not len(b):
-                continue
-            pv, ids = b["pivot"].to_numpy(), b["vid"].to_numpy()
-            perm = np.frombuffer(b"".join(b["perm"]), dtype=np.int16).reshape(len(b), depth)
-            body = np.frombuffer(b"".join(b["body"]), dtype=np.float32).reshape(len(b), -1)
-            cut = np.flatnonzero(np.diff(pv)) + 1
-            out = []
-            for lo, hi in zip(np.append(0, cut), np.append(cut, len(b))):
-                if pv[lo] != pivot:
-                    out += flush()
-                    pivot = pv[lo]
-                    held.clear()
-                for at in range(lo, hi, PART):
-                    end = min(hi, at + PART)
-                    waiting.append((ids[at:end], perm[at:end], body[at:end]))
-                    if sum(len(w[0]) for w in waiting) >= PART:
-                        out += flush()
-            if out:
-                yield pd.concat(out)
-        yield from flush()
-
-    return posted.repartition("pivot").sortWithinPartitions("pivot").mapInPandas(files, "q long, o long, cosine double")
-
-
-def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0, depth: int | None = DEPTH) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0) -> DataFrame:
     """key, neighbour, cosine and rank of the k most similar other vectors of every vector, of cosine `least` at least.
 
     Vectors of one direction are searched once; each of their keys has the others as neighbours of cosine
     1, smaller keys first, as at any tie. Null, empty and all-zero vectors, and vectors with a null or nan
     inside, take no part. All vectors have one length. With fewer than k others a key has fewer rows.
-    Without a depth the search is exact.
+    The search is exact.
     """
     rows = usable(vectors, key, vector)
     n = rows.count()
@@ -288,9 +183,9 @@ def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: flo
                 yield pd.DataFrame({"key": b["key"], "vid": vector_ids(unit(b["v"].tolist()))})
 
     named = rows.mapInPandas(name, f"key {kind}, vid long")
-    hits = exact_hits(rows, n, k, least) if depth is None else index_hits(rows, n, k, least, depth)
+    hits = exact_hits(rows, n, k, least)
     best = Window.partitionBy("q").orderBy(F.desc("cosine"), "o")
-    near = hits.groupBy("q", "o").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    near = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
     named = checkpointed(named)
     # of each direction the first k + 1 keys are all that any result can need
     order = Window.partitionBy("vid").orderBy("key")
@@ -306,5 +201,5 @@ def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: flo
 
 def close_pairs(vectors: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
     """Pairs of keys, smaller first, of cosine `least` at least, of which one has the other among its k most similar."""
-    found = neighbours(vectors, key, vector, k, least, None)
+    found = neighbours(vectors, key, vector, k, least)
     return found.select(F.least(key, "neighbour").alias("a"), F.greatest(key, "neighbour").alias("b")).distinct()

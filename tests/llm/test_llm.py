@@ -223,6 +223,14 @@ def test_close_pairs_are_whole_in_one_cluster(spark):
     assert len(want) > 5000 and got == want, (len(want), len(want & got), len(got))
 
 
+def test_neighbours_are_exact_in_one_cluster(spark):
+    x = crowded(4500, 6)
+    want = nearest_five(x)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, e array<float>")
+    got = {(r["id"], r["neighbour"]) for r in neighbours.neighbours(df, "id", "e", 5).collect()}
+    assert got == set(want), (len(want), len(got & set(want)))
+
+
 def test_footrule_of_orders():
     r = np.random.RandomState(0)
     a, b = (np.array([r.permutation(12)[:5] for _ in range(n)]) for n in (7, 9))
