@@ -366,23 +366,38 @@ def pairs(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     return both.select("kind", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id and the smallest id of its component, for the ids of a, b edges.
 
-    Labels go over edges and then jump to the label of their label; each round is checkpointed, and as
-    jumps double the reach, rounds follow the logarithm of the longest path.
+    Large-star and small-star take turns until no edge changes, as many rounds as that takes; each round
+    is checkpointed. A large-star links the larger neighbours of an id to its smallest one, a small-star
+    the others, so components stay whole and end as stars. Rounds follow the logarithm of the number of
+    ids (squared at worst), not the path.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    for _ in range(rounds):
-        heard = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
-        near = labels.join(heard, "id").select("id", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new = checkpointed(near.join(up, "label", "left").select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
-        if new.filter("label <> old").isEmpty():
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("id"), F.col("a").alias("label"))
+    # from each id to a smaller one; an id alone is linked to itself
+    links = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    ids = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
+    links = links.filter("u <> v")
+    before = mark(links)
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = checkpointed(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        links = checkpointed(small.filter("u <> v").distinct())
+        after = mark(links)
+        if after == before:
             break
-        labels = new.select("id", "label")
-    return labels
+        before = after
+    return ids.join(links, ids["id"] == links["u"], "left").select("id", F.coalesce("v", "id").alias("label"))
 
 
 def groups(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -172,6 +172,15 @@ def test_trie_join_equals_all_pairs():
     assert {(i, j) for i, j in zip(x.tolist(), y.tolist())} == {(i, j) for i in range(20) for j in range(12) if near(i, j + 20)}
 
 
+def test_components_of_a_long_chain(spark):
+    r = random.Random(4)
+    names = list(range(3000))
+    r.shuffle(names)
+    edges = [(names[i], names[i + 1]) for i in range(2999)] + [(i, i + 1) for i in range(10_000, 10_300)] + [(20_001, 20_000), (20_000, 20_001), (30_000, 30_000)]
+    got = {x["id"]: x["label"] for x in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {i: 10_000 for i in range(10_000, 10_301)} | {20_000: 20_000, 20_001: 20_000, 30_000: 30_000}
+
+
 # 5 neighbours
 
 
