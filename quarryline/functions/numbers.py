@@ -35,8 +35,11 @@ def power_of_ten(power: Column) -> Column:
     return out
 
 
-def apply_scale(value: Column, power: Column) -> Column:
-    """value * 10 ** power, null on overflow or for a null."""
+def apply_scale(value: Column, power: Column, kind: str = MONEY) -> Column:
+    """value * 10 ** power, null on overflow or for a null; with a kind of more decimals, negative powers keep up to 14."""
+    if kind != MONEY:
+        down = F.try_multiply(value.try_cast("decimal(28,6)"), F.when(power < 0, power_of_ten(power)).cast("decimal(13,12)"))
+        return F.when(power < 0, down.try_cast(kind)).otherwise(apply_scale(value, power).try_cast(kind))
     return F.try_multiply(value.try_cast("decimal(28,6)"), power_of_ten(power)).try_cast(MONEY)
 
 

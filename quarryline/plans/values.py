@@ -36,6 +36,13 @@ def spans_scaled(spark: SparkSession, d: str) -> DataFrame:
     return s.select("span_id", numbers.apply_scale(F.col("value"), F.lit(-3)).cast("decimal(28,3)").alias("thousands"))
 
 
+@query("""SELECT span_id, CAST(CAST(value AS DECIMAL(28,6)) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(38,9)) AS thousands FROM (SELECT DISTINCT span_id, value FROM xbrl_spans)""")
+def spans_scaled_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All spans, also of fractional and null values."""
+    s = table(spark, d, "xbrl_spans").select("span_id", "value").distinct()
+    return s.select("span_id", numbers.apply_scale(F.col("value"), F.lit(-3), "decimal(38,9)").alias("thousands"))
+
+
 @query(r"""WITH c AS (SELECT chunk_id, list_distinct(regexp_extract_all(split_part(lower(split_part(raw_text, chr(10), 1)), 'except', 1), '\b(thousand|million|billion|trillion)s?\b', 1)) w FROM chunks WHERE chunk_type = 'table')
 SELECT chunk_id, CASE WHEN len(w) = 1 THEN CASE w[1] WHEN 'thousand' THEN 3 WHEN 'million' THEN 6 WHEN 'billion' THEN 9 ELSE 12 END END AS power FROM c""")
 def captions_scaled(spark: SparkSession, d: str) -> DataFrame:

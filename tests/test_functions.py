@@ -73,3 +73,9 @@ def test_periods(spark):
     df = spark.sql("SELECT * FROM VALUES (null, date'2020-01-01'), (date'2019-01-01', date'2019-12-31'), (date'2020-01-01', date'2020-03-31'), (date'2020-01-01', date'2020-06-30'), (date'2020-01-01', date'2020-01-05') AS t(a, b)")
     assert [r[0] for r in df.select(periods.period_kind(F.col("a"), F.col("b"))).collect()] == ["instant", "annual", "quarter", "ytd", "other"]
     assert many(spark, ["Q3", "FY", " q1 ", None], periods.fiscal_quarter) == [3, None, 1, None]
+
+
+def test_scale_keeps_fractions(spark):
+    df = spark.createDataFrame([(1, Decimal("1.234567")), (2, None), (3, Decimal("-2500"))], "i int, v decimal(38,6)")
+    got = {r["i"]: r["x"] for r in df.select("i", numbers.apply_scale(F.col("v"), F.lit(-3), "decimal(38,9)").alias("x")).collect()}
+    assert got == {1: Decimal("0.001234567"), 2: None, 3: Decimal("-2.5")}
