@@ -19,7 +19,7 @@ from quarryline.functions.keys import accession_key, concept_key
 KNOWN_POWERS = (-4, -2, 0, 3, 6, 9)
 #: A linked pair of sources counts from so many entities on, and if so large a share of them agrees.
 MIN_LINKS, MIN_AGREEMENT = 8, 0.6
-#: Longest unit name that is kept; one longer is cut, so the table of sources stays narrow.
+#: Longest source name that is kept as it is; of one longer the start and a hash of the whole are kept, so the table of sources stays narrow.
 NAME_CHARS = 60
 AMOUNT = "decimal(38,7)"
 SPAN = "tagged span"
@@ -62,11 +62,23 @@ def label_phrase(label: Column) -> Column:
 
 
 def shifted(value: Column, power: Column) -> Column:
-    """value * 10 ** power for the known powers and those of tagged spans, null beyond them or on overflow."""
-    out = F.lit(None).cast("decimal(16,6)")
-    for p in (-6, -4, -3, -2, 0, 2, 3, 6, 9):
-        out = F.when(power == p, F.lit(f"1e{p}").cast("decimal(16,6)")).otherwise(out)
-    return F.try_multiply(value.try_cast("decimal(28,8)"), out).try_cast(AMOUNT)
+    """value * 10 ** power for powers from -12 to 12, null beyond them or on overflow."""
+    v = value.try_cast("decimal(28,8)")
+
+    def times(powers: range, kind: str) -> Column:
+        factor = F.lit(None).cast(kind)
+        for p in powers:
+            factor = F.when(power == p, F.lit(f"1e{p}").cast(kind)).otherwise(factor)
+        return F.try_multiply(v, factor).try_cast(AMOUNT)
+
+    # each range in a type whose product keeps the decimals of an amount
+    low, high = times(range(-12, -6), "decimal(13,12)"), times(range(10, 13), "decimal(13,0)")
+    return F.when(power < -6, low).when(power > 9, high).otherwise(times(range(-6, 10), "decimal(16,6)"))
+
+
+def source_name(name: Column) -> Column:
+    """name up to NAME_CHARS, else its start and a hash of the whole, so different names stay different."""
+    return F.when(F.length(name) <= NAME_CHARS, name).otherwise(F.concat(F.substring(name, 1, NAME_CHARS), F.lit("#"), F.md5(name)))
 
 
 def facts_of(facts: DataFrame) -> DataFrame:
@@ -83,7 +95,7 @@ def facts_of(facts: DataFrame) -> DataFrame:
         "period_end",
         F.col("value").cast("decimal(38,6)").alias("value"),
         kind.alias("dimension"),
-        F.substring(F.concat_ws("|", kind, unit, phrase), 1, NAME_CHARS).alias("source"),
+        source_name(F.concat_ws("|", kind, unit, phrase)).alias("source"),
         named.alias("named"),
     )
 
