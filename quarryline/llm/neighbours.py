@@ -1,8 +1,9 @@
-"""Most similar vectors of every vector, exactly.
+"""Most similar vectors of every vector by a permutation index.
 
-Vectors of one direction are one. Directions are parted into blocks; every two blocks meet once, tile by
-tile, and each tile keeps the best that it has met. No pair is left out, so results depend neither on
-dense places nor on the size of the table.
+A vector is represented by its nearest pivots in order. It is posted in the inverted file of each of
+them, with that order. In a file, vectors are ranked for each query vector by the footrule distance of
+the orders, and the first of them again by cosine. Pivots are drawn from the vectors, so dense places
+have many; a file that is still too large is split by a second pivot of the order.
 """
 
 from __future__ import annotations
@@ -16,10 +17,18 @@ from pyspark.sql import functions as F
 
 from quarryline.session import checkpointed
 
-#: Most vectors of a block, and blocks that are made of fewer where there are enough for tiles.
-BLOCK, LEAST_BLOCKS = 32_768, 8
-#: Vectors of a tile, float32 error that a bar allows for, and products in float64 made at once.
-TILE, SLACK, PRODUCTS = 2048, 1e-5, 65_536
+#: Pivots per square root of the number of vectors, and bounds; the index is fitted on as many vectors and the table of pivots is shared with all tasks.
+PIVOTS_PER_ROOT, FEWEST, MOST = 5, 16, 32_768
+#: Nearest pivots of a vector, in whose files it is posted and searched.
+DEPTH = 16
+#: Vectors of a file that are reranked for each query: this share of the file, and so many at least.
+RERANKED_SHARE, RERANKED = 0.5, 128
+#: A file of more vectors is split by pairs of pivots, both among the first SPLIT_DEPTH of a vector's order.
+SPLIT_ABOVE, SPLIT_DEPTH = 16_384, 8
+#: Vectors of a file that are handled at once.
+PART = 2048
+#: Vectors are posted with 16 bits a number; cosines from them are off by less than this, and pairs so near to a threshold are computed again.
+WHOLE, SLACK = 32_767.0, 1e-3
 
 
 def unit(values: list) -> np.ndarray:
@@ -43,133 +52,148 @@ def vector_ids(x: np.ndarray) -> np.ndarray:
     return np.array([xxh3_64_intdigest(row.tobytes()) for row in np.round(x, 6) + 0.0], dtype=np.uint64).view(np.int64)
 
 
+def nearest(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers of the nearest pivots of every vector, nearest first."""
+    out = np.empty((len(x), depth), dtype=np.int32)
+    for lo in range(0, len(x), 1024):
+        near = x[lo : lo + 1024].astype(np.float32) @ pivots.T
+        first = np.argpartition(-near, depth - 1, axis=1)[:, :depth] if depth < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
+        order = np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable")
+        out[lo : lo + 1024] = np.take_along_axis(first, order, 1)
+    return out
+
+
 def footrule_shared(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """How much the orders of a and b agree: the footrule distance is depth * (depth + 1) less twice this.
 
     A pivot at place r weighs depth - r in its order, and 0 in an order that lacks it; the distance adds
-    up the differences of weights, so shared pivots count with the smaller weight.
+    up the differences of weights, so shared pivots count with the smaller weight. Sums run pivot by
+    pivot over the rows that hold it.
     """
     n, m = len(a), len(b)
-    pa, pb = a.ravel(), b.ravel()
-    ra, rb = np.repeat(np.arange(n), depth), np.repeat(np.arange(m), depth)
-    wa, wb = np.tile(depth - np.arange(depth), n), np.tile(depth - np.arange(depth), m)
-    ob = np.argsort(pb, kind="stable")
-    lo, hi = np.searchsorted(pb[ob], pa, "left"), np.searchsorted(pb[ob], pa, "right")
-    count = hi - lo
-    at = np.repeat(np.arange(len(pa)), count)
-    other = ob[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-    both = np.bincount(ra[at] * m + rb[other], weights=np.minimum(wa[at], wb[other]), minlength=n * m)
-    return both.reshape(n, m)
-
-
-class Best:
-    """The k best others of each vector of a tile so far."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, least: float):
-        self.ids, self.x, self.k, self.least = ids, x, k, least
-        self.cosine, self.other = np.full((len(ids), k), -9.0), np.zeros((len(ids), k), dtype=np.int64)
-
-    def take(self, c: np.ndarray, tile: Best) -> None:
-        """Take over what c, the float32 cosines to another tile, can add; the cosines kept are float64."""
-        bar = np.maximum(self.cosine[:, -1], self.least) - SLACK
-        hit = c >= bar[:, None]
-        if np.count_nonzero(hit) > 4 * self.k * len(c) and c.shape[1] >= self.k:
-            # the best of k parts are k others, so the k-th best is no worse than the worst of them
-            tops = np.minimum.reduce([part.max(axis=1) for part in np.array_split(c, self.k, axis=1)])
-            hit = c >= np.maximum(bar, tops - SLACK)[:, None]
-        row, col = np.nonzero(hit)
-        if not len(row):
-            return
-        exact = np.concatenate([
-            np.einsum("rd,rd->r", self.x[row[lo : lo + PRODUCTS]].astype(np.float64), tile.x[col[lo : lo + PRODUCTS]].astype(np.float64))
-            for lo in range(0, len(row), PRODUCTS)
-        ])
-        good = (exact >= self.least) & (self.ids[row] != tile.ids[col])
-        row, other, exact = row[good], tile.ids[col[good]], exact[good]
-        at = np.unique(row)
-        row = np.concatenate([np.repeat(at, self.k), row])
-        other, exact = np.concatenate([self.other[at].ravel(), other]), np.concatenate([self.cosine[at].ravel(), exact])
-        order = np.lexsort((other, -exact, row))
-        row, other, exact = row[order], other[order], exact[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
-        kept = place < self.k
-        self.cosine[row[kept], place[kept]], self.other[row[kept], place[kept]] = exact[kept], other[kept]
-
-    def found(self) -> pd.DataFrame:
-        r, c = np.nonzero(self.cosine > -9)
-        return pd.DataFrame({"q": self.ids[r], "o": self.other[r, c], "cosine": self.cosine[r, c]})
-
-
-def best_of_blocks(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, k: int, least: float) -> pd.DataFrame:
-    """q, o and cosine of the k best others of every vector of two blocks in the other block, or of one block in itself."""
-    tiles = [[Best(ids[lo : lo + TILE], x[lo : lo + TILE], k, least) for lo in range(0, len(ids), TILE)] for ids, x in ([left, right] if right else [left])]
-    for n, a in enumerate(tiles[0]):
-        for b in tiles[1] if right else tiles[0][n:]:
-            c = a.x @ b.x.T
-            if a is b:
-                np.fill_diagonal(c, -9)
-                a.take(c, a)
-            else:
-                a.take(c, b)
-                b.take(c.T, a)
-    return pd.concat([t.found() for side in tiles for t in side])
-
-
-def exact_hits(rows: DataFrame, n: int, k: int, least: float) -> DataFrame:
-    """q, o and cosine: among them the k best other directions of every direction of at most n rows; no pair is left out.
-
-    Directions are parted into blocks by their name; every two blocks meet in one group, tile by tile, so
-    memory follows the block and the products follow the square of the number of directions.
+    out = np.zeros(n * m, dtype=np.int16)
+
+    def lists(perm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(perm, axis=None, kind="stable")
+        return perm.ravel()[order], order // depth, (depth - order % depth).astype(np.int16)
+
+    (pa, ra, wa), (pb, rb, wb) = lists(a), lists(b)
+    names, starts, counts = np.unique(pa, return_index=True, return_counts=True)
+    lo, hi = np.searchsorted(pb, names, "left"), np.searchsorted(pb, names, "right")
+    for s, c, l, h in zip(starts, counts, lo, hi):
+        if h > l:
+            rows, cols = ra[s : s + c], rb[l:h]
+            out[(rows[:, None] * m + cols).ravel()] += np.minimum(wa[s : s + c, None], wb[l:h]).ravel()
+    return out.reshape(n, m)
+
+
+def search(q: tuple, o: tuple, size: int, k: int, least: float, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, object ids and cosines of the k best objects of each query among those whose orders are nearest to its own."""
+    (ids_q, perm_q, x_q), (ids_o, perm_o, x_o) = q, o
+    shared = footrule_shared(perm_q, perm_o, depth)
+    # of a file in parts each part gives its share
+    width = min(len(ids_o), max(-(-RERANKED * len(ids_o) // size), int(RERANKED_SHARE * len(ids_o)), k + 1))
+    bar = np.partition(shared, len(ids_o) - width, axis=1)[:, len(ids_o) - width, None]
+    cosine = x_q @ x_o.T
+    cosine[(shared < bar) | (ids_q[:, None] == ids_o[None, :]) | (cosine < least)] = -9
+    if least > 0:  # few are left
+        r, c = np.nonzero(cosine > -9)
+        return ids_q[r], ids_o[c], cosine[r, c]
+    best = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.tile(np.arange(cosine.shape[1]), (len(cosine), 1))
+    found = np.take_along_axis(cosine, best, 1)
+    r, c = np.nonzero(found > -9)
+    return ids_q[r], ids_o[best[r, c]], found[r, c]
+
+
+def pivot_table(rows: DataFrame, n: int) -> np.ndarray:
+    """Pivots of at most MOST vectors: the rows with the smallest hash of their key, so the draw does not depend on partitions."""
+    wanted = int(min(MOST, max(FEWEST, PIVOTS_PER_ROOT * n**0.5)))
+    h = F.xxhash64(F.lit(9), "key")
+    share = int(min(1.0, 2.0 * wanted / max(1, n)) * (1 << 40))
+    drawn = rows.filter(F.pmod(h, F.lit(1 << 40)) < share).orderBy(F.pmod(h, F.lit(1 << 40)), "key").limit(wanted).collect()
+    if len(drawn) < FEWEST:
+        drawn = rows.orderBy(F.pmod(h, F.lit(1 << 40)), "key").limit(wanted).collect()
+    return np.unique(unit([r["v"] for r in drawn]).astype(np.float32), axis=0)
+
+
+def index_hits(rows: DataFrame, n: int, k: int, least: float, depth: int = DEPTH, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """q, o and cosine of neighbours that the permutation index finds, some of them more than once.
+
+    A split file posts a vector under each pair of its first pivots; files and pairs of any size go part
+    by part, so nothing is dropped.
     """
-    parts = max(1, -(-n // BLOCK), min(LEAST_BLOCKS, -(-n // TILE)))
+    pivots = pivot_table(rows, n)
+    depth = min(depth, len(pivots))
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 x = unit(b["v"].tolist())
                 ids, first = np.unique(vector_ids(x), return_index=True)
-                yield pd.DataFrame({"vid": ids, "body": [v.tobytes() for v in x[first].astype(np.float32)]})
+                x = x[first]
+                perm, body = nearest(x, shared.value, depth), np.round(x * WHOLE).astype(np.int16)
+                yield pd.DataFrame({"vid": ids, "perm": list(perm), "body": [v.tobytes() for v in body]})
+
+    # vectors of one direction are one
+    indexed = checkpointed(rows.mapInPandas(order, "vid long, perm array<int>, body binary").groupBy("vid").agg(F.first("perm").alias("perm"), F.first("body").alias("body")))
+    sizes = indexed.select(F.explode("perm").alias("p")).groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > split_above)
+    large = F.array(*[F.lit(r["p"]) for r in sizes.collect()]) if not sizes.isEmpty() else None  # at most MOST numbers
+    files = indexed.select("vid", "perm", "body", F.explode("perm").alias("p"))
+    if large is None:
+        posted = files.withColumn("other", F.lit(-1))
+    else:
+        hot = F.array_contains(large, F.col("p"))
+        first = F.slice("perm", 1, SPLIT_DEPTH)
+        pairs = F.filter(first, lambda x: x != F.col("p"))
+        split = files.filter(hot & F.array_contains(first, F.col("p"))).select("vid", "perm", "body", "p", F.explode(pairs).alias("q"))
+        # a pair of two large files is met under the smaller number only
+        split = split.filter(~F.array_contains(large, F.col("q")) | (F.col("p") < F.col("q"))).withColumnRenamed("q", "other")
+        posted = files.filter(~hot).withColumn("other", F.lit(-1)).unionByName(split)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair, held = None, []
-
-        def flush() -> Iterator[pd.DataFrame]:
-            if not held:
-                return
-            block, ids, x = (np.concatenate(h) for h in zip(*held))
-            held.clear()
-            lo, hi = divmod(int(pair), parts)
-            sides = [(ids[block == side], x[block == side]) for side in sorted({lo, hi})]
-            if all(len(i) for i, _ in sides):
-                yield best_of_blocks(sides[0], sides[1] if lo < hi else None, k, least)
+        name, held = None, []
+
+        def file() -> Iterator[pd.DataFrame]:
+            # the file, part by part, against itself and the parts before
+            ids, perm, body = (np.concatenate(h) for h in zip(*held))
+            x = body.astype(np.float32) / WHOLE
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            parts = [(ids[lo : lo + PART], perm[lo : lo + PART], x[lo : lo + PART]) for lo in range(0, len(ids), PART)]
+            for a in parts:
+                for b in parts:
+                    q, o, c = search(a, b, len(ids), k, least, depth)
+                    if len(q):
+                        yield pd.DataFrame({"q": q, "o": o, "cosine": c.astype(np.float64)})
 
         for b in batches:
             if not len(b):
                 continue
-            pairs, blocks, ids = b["pair"].to_numpy(), b["block"].to_numpy(), b["vid"].to_numpy()
-            x = np.frombuffer(b"".join(b["body"]), dtype=np.float32).reshape(len(b), -1)
-            cut = np.flatnonzero(np.diff(pairs)) + 1
+            names = np.stack([b["p"].to_numpy(), b["other"].to_numpy()], axis=1)
+            ids, perm = b["vid"].to_numpy(), np.stack(b["perm"].to_numpy())
+            body = np.frombuffer(b"".join(b["body"]), dtype=np.int16).reshape(len(b), -1)
+            cut = np.flatnonzero((np.diff(names, axis=0) != 0).any(axis=1)) + 1
             for lo, hi in zip(np.append(0, cut), np.append(cut, len(b))):
-                if pairs[lo] != pair:
-                    yield from flush()
-                    pair = pairs[lo]
-                held.append((blocks[lo:hi], ids[lo:hi], x[lo:hi]))
-        yield from flush()
-
-    once = rows.mapInPandas(post, "vid long, body binary").groupBy("vid").agg(F.min("body").alias("body"))
-    blocks = once.withColumn("block", F.pmod("vid", F.lit(parts))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = blocks.select((F.least("block", "other") * parts + F.greatest("block", "other")).alias("pair"), "block", "vid", "body")
-    met = pairs.repartition(min(parts * (parts + 1) // 2, 10_000), "pair").sortWithinPartitions("pair")
+                if held and tuple(names[lo]) != name:
+                    yield from file()
+                    held.clear()
+                name = tuple(names[lo])
+                held.append((ids[lo:hi], perm[lo:hi], body[lo:hi]))
+        if held:
+            yield from file()
+
+    met = posted.select("p", "other", "vid", "perm", "body").repartition("p", "other").sortWithinPartitions("p", "other")
     return met.mapInPandas(meet, "q long, o long, cosine double")
 
 
-def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = -1.0, depth: int = DEPTH) -> DataFrame:
     """key, neighbour, cosine and rank of the k most similar other vectors of every vector, of cosine `least` at least.
 
     Vectors of one direction are searched once; each of their keys has the others as neighbours of cosine
     1, smaller keys first, as at any tie. Null, empty and all-zero vectors, and vectors with a null or nan
     inside, take no part. All vectors have one length. With fewer than k others a key has fewer rows.
-    The search is exact.
+    The index may miss neighbours that share no pivot of their first `depth`, or whose orders differ too
+    much; cosines are exact.
     """
     rows = usable(vectors, key, vector)
     n = rows.count()
@@ -183,9 +207,13 @@ def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: flo
                 yield pd.DataFrame({"key": b["key"], "vid": vector_ids(unit(b["v"].tolist()))})
 
     named = rows.mapInPandas(name, f"key {kind}, vid long")
-    hits = exact_hits(rows, n, k, least)
+    hits = index_hits(rows, n, k, least - SLACK, depth)
     best = Window.partitionBy("q").orderBy(F.desc("cosine"), "o")
-    near = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    # hits of one query come from several files: first the best of each file, then each other once
+    near = hits.groupBy("q", "o").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    near = near.select("q", "o", "cosine")
+    if least > -1:
+        near = exact_near(checkpointed(near), rows, kind, least)
     named = checkpointed(named)
     # of each direction the first k + 1 keys are all that any result can need
     order = Window.partitionBy("vid").orderBy("key")
@@ -199,6 +227,24 @@ def neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: flo
     )
 
 
+def exact_near(near: DataFrame, rows: DataFrame, kind: str, least: float) -> DataFrame:
+    """near without the pairs that the exact cosine puts below `least`; only pairs within SLACK of it are computed again."""
+    clear, doubtful = near.filter(F.col("cosine") >= least + SLACK), near.filter(F.col("cosine") < least + SLACK)
+    wanted = doubtful.select(F.explode(F.array("q", "o")).alias("vid")).distinct()
+
+    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = unit(b["v"].tolist())
+                yield pd.DataFrame({"vid": vector_ids(x), "x": list(x)})
+
+    exact = rows.mapInPandas(bodies, "vid long, x array<double>").join(wanted, "vid", "left_semi").groupBy("vid").agg(F.first("x").alias("x"))
+    a, b = exact.select(F.col("vid").alias("q"), F.col("x").alias("xq")), exact.select(F.col("vid").alias("o"), F.col("x").alias("xo"))
+    dot = F.aggregate(F.zip_with("xq", "xo", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    again = doubtful.join(a, "q").join(b, "o").select("q", "o", dot.alias("cosine")).filter(F.col("cosine") >= least)
+    return clear.unionByName(again)
+
+
 def close_pairs(vectors: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
     """Pairs of keys, smaller first, of cosine `least` at least, of which one has the other among its k most similar."""
     found = neighbours(vectors, key, vector, k, least)

@@ -224,20 +224,29 @@ def nearest_five(x):
     return {(i, int(j)): s[i, j] for i in range(len(x)) for j in top[i]}
 
 
-def test_close_pairs_are_whole_in_one_cluster(spark):
+def test_close_pairs_recall_in_one_cluster(spark):
     x = crowded(6000)
     want = {tuple(sorted(p)) for p, c in nearest_five(x).items() if c >= 0.85}
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, e array<float>")
     got = {tuple(p) for p in neighbours.close_pairs(df, "id", "e", 5, 0.85).collect()}
-    assert len(want) > 5000 and got == want, (len(want), len(want & got), len(got))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert len(want) > 5000 and len(want & got) >= 0.9 * len(want), (len(want), len(want & got), len(got))
+    assert all(float(u[a] @ u[b]) >= 0.85 - 1e-7 for a, b in got)
 
 
-def test_neighbours_are_exact_in_one_cluster(spark):
+def test_neighbours_recall_in_one_cluster(spark):
     x = crowded(4500, 6)
     want = nearest_five(x)
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, e array<float>")
     got = {(r["id"], r["neighbour"]) for r in neighbours.neighbours(df, "id", "e", 5).collect()}
-    assert got == set(want), (len(want), len(got & set(want)))
+    assert len(got & set(want)) >= 0.9 * len(want), (len(want), len(got & set(want)))
+
+
+def test_split_files_lose_nothing_that_pairs_of_pivots_share(spark):
+    x = crowded(1500, 7)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "key long, v array<float>")
+    whole, split = ({(r["q"], r["o"]) for r in neighbours.index_hits(df, 1500, 5, 0.85, split_above=n).collect()} for n in (10**6, 40))
+    assert len(split & whole) >= 0.8 * len(whole) > 0
 
 
 def test_footrule_of_orders():
