@@ -23,8 +23,8 @@ PIVOTS_PER_ROOT, FEWEST, MOST = 5, 16, 32_768
 DEPTH = 16
 #: Vectors of a file that are reranked for each query: this share of the file, and so many at least.
 RERANKED_SHARE, RERANKED = 0.5, 128
-#: A file of more vectors is split by pairs of pivots, both among the first SPLIT_DEPTH of a vector's order.
-SPLIT_ABOVE, SPLIT_DEPTH = 16_384, 8
+#: A file of more vectors is split by the other pivots of a vector's order.
+SPLIT_ABOVE = 16_384
 #: Vectors of a file that are handled at once.
 PART = 2048
 #: Vectors are posted with 16 bits a number; cosines from them are off by less than this, and pairs so near to a threshold are computed again.
@@ -119,8 +119,8 @@ def pivot_table(rows: DataFrame, n: int) -> np.ndarray:
 def index_hits(rows: DataFrame, n: int, k: int, least: float, depth: int = DEPTH, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """q, o and cosine of neighbours that the permutation index finds, some of them more than once.
 
-    A split file posts a vector under each pair of its first pivots; files and pairs of any size go part
-    by part, so nothing is dropped.
+    A split file posts a vector under its pivot with each other one of its order, so two of its vectors
+    meet that share a second pivot. Files of any size go part by part.
     """
     pivots = pivot_table(rows, n)
     depth = min(depth, len(pivots))
@@ -144,9 +144,7 @@ def index_hits(rows: DataFrame, n: int, k: int, least: float, depth: int = DEPTH
         posted = files.withColumn("other", F.lit(-1))
     else:
         hot = F.array_contains(large, F.col("p"))
-        first = F.slice("perm", 1, SPLIT_DEPTH)
-        pairs = F.filter(first, lambda x: x != F.col("p"))
-        split = files.filter(hot & F.array_contains(first, F.col("p"))).select("vid", "perm", "body", "p", F.explode(pairs).alias("q"))
+        split = files.filter(hot).select("vid", "perm", "body", "p", F.explode(F.filter("perm", lambda x: x != F.col("p"))).alias("q"))
         # a pair of two large files is met under the smaller number only
         split = split.filter(~F.array_contains(large, F.col("q")) | (F.col("p") < F.col("q"))).withColumnRenamed("q", "other")
         posted = files.filter(~hot).withColumn("other", F.lit(-1)).unionByName(split)

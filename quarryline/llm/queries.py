@@ -36,7 +36,7 @@ QUERIES = {
     "p2_found": _on("chunks")(boilerplate.furniture),
     "p2_lines": _on("chunks")(boilerplate.lines),
     "p2_body": _on("chunks")(boilerplate.body),
-    "p3_found": _on("chunks", "sample_targets")(lambda c, t: sampling.report(c, t).filter("rows_there < rows_needed").select("target_id")),
+    "p3_found": _on("chunks", "sample_targets")(lambda c, t: sampling.report(c, t).filter("rows_missing > 0").select("target_id")),
     "p3_sample": _on("chunks", "sample_targets")(sampling.sample),
     "p3_report": _on("chunks", "sample_targets")(sampling.report),
     "p4_found": _on("chunks", "eval_items")(lambda c, e: neardup.pairs(_records(c, e), *P4).withColumnRenamed("kind", "record_kind")),
@@ -45,9 +45,12 @@ QUERIES = {
     "p5_neighbours": _on("chunks")(lambda c: neighbours.neighbours(c, "chunk_id", "embedding", 5)),
     "p7_found": _on("xbrl_facts")(survivors.found),
     "p7_survivors": _on("xbrl_facts")(survivors.survivors),
-    "p8_found": _on("documents")(lambda d: packing.pack(packing.pieces(d)).filter("not whole").select("doc_id").distinct()),
+    "p7_undated": _on("xbrl_facts")(lambda f: survivors.survivors(survivors.without_times(f))),
+    "p7_order_learned": _on("xbrl_facts")(survivors.order_learned),
+    "p8_found": _on("documents")(lambda d: packing.cut(packing.pack(packing.pieces(d)))),
     "p8_containers": _on("documents")(lambda d: packing.pack(packing.pieces(d))),
     "p8_fill": _on("documents")(lambda d: packing.fill(packing.pack(packing.pieces(d)))),
+    "p8_contents": _on("documents")(lambda d: packing.contents(packing.pack(packing.pieces(d)), d)),
     "p9_found": _on("documents", "mix_targets")(lambda d, t: mixing.report(mixing.sizes(d), t).filter("short").select("source")),
     "p9_mix": _on("documents", "mix_targets")(lambda d, t: mixing.mix(mixing.sizes(d), t)),
     "p9_report": _on("documents", "mix_targets")(lambda d, t: mixing.report(mixing.sizes(d), t)),

@@ -10,7 +10,7 @@ from quarryline.functions.keys import form_key, item_key, ticker_key
 STRATUM = ["_ticker", "_form", "_item"]
 #: A row of a stratum is accepted with the wanted rate, raised by so many standard deviations plus some rows.
 DEVIATIONS, EXTRA_ROWS = 5, 10
-#: Buckets of the random number within a stratum; only the bucket in which the wanted count falls is ranked.
+#: Buckets of the accepted random numbers of a stratum; only the bucket in which the wanted count falls is ranked.
 BUCKETS = 1024
 
 
@@ -43,35 +43,44 @@ def needs(chunks: DataFrame, targets: DataFrame, fraction: int = 20) -> DataFram
     )
 
 
-def sample(chunks: DataFrame, targets: DataFrame, key: str = "chunk_id", fraction: int = 20, seed: int = 7) -> DataFrame:
-    """Keys of the sampled rows with their target.
+def first_by_number(drawn: DataFrame, key: str, need: str) -> DataFrame:
+    """Of the rows of each target those with the smallest numbers, as many as the column need says, or all.
 
-    Acceptance: each row is drawn on its own with its stratum's rate, needed over there, slightly raised.
-    Correction: of the accepted rows those with the smallest random numbers up to the need stay; the
-    count is exact, as only rows of the last bucket are ranked. A stratum whose draw fell short, which
-    the raise makes rare, is drawn again with rate 1. Ties in the number go by key; strata with fewer
-    rows than needed give all. Rows with a null key or stratum are never drawn.
+    drawn has target_id, key, u, a bucket that rises with u, and need. Counts run over buckets, of which a
+    target has at most BUCKETS; only rows of the bucket in which the count is reached are ranked. Ties go
+    by key.
     """
-    wanted = needs(chunks, targets, fraction).filter("rows_there > 0 and rows_needed > 0").select(
-        "target_id", *STRATUM, "rows_needed", F.least(F.lit(1.0), (F.col("rows_needed") + DEVIATIONS * F.sqrt("rows_needed") + EXTRA_ROWS) / F.col("rows_there")).alias("rate"), "rows_there"
-    )
-    drawn = (
-        keyed(chunks.select(key, "ticker", "form_type", "item_code"))
-        .filter(F.col(key).isNotNull())
-        .join(wanted, STRATUM)
-        .withColumn("u", uniform(F.col(key), seed))
-        .withColumn("bucket", F.floor(F.col("u") / F.col("rate") * BUCKETS))
-    )
-    sizes = drawn.groupBy("target_id", "bucket").agg(F.count("*").alias("n"), F.first("rows_needed").alias("need"))
+    sizes = drawn.groupBy("target_id", "bucket").agg(F.count("*").alias("n"), F.first(need).alias("wanted"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("target_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # buckets beyond the accepted ones hold the rows that a second draw would take; they count only where the first falls short
-    plan = sizes.withColumn("before", before).filter("before < need").select("target_id", "bucket", "before", "n", "need")
+    plan = sizes.withColumn("before", before).filter("before < wanted")
     kept = drawn.select(key, "target_id", "bucket", "u").join(plan, ["target_id", "bucket"])
-    whole = kept.filter("before + n <= need")
-    edge = kept.filter("before + n > need").withColumn("rank", F.row_number().over(Window.partitionBy("target_id", "bucket").orderBy("u", key))).filter("before + rank <= need")
+    whole = kept.filter("before + n <= wanted")
+    edge = kept.filter("before + n > wanted").withColumn("rank", F.row_number().over(Window.partitionBy("target_id", "bucket").orderBy("u", key))).filter("before + rank <= wanted")
     return whole.select(key, "target_id").unionByName(edge.select(key, "target_id"))
 
 
+def sample(chunks: DataFrame, targets: DataFrame, key: str = "chunk_id", fraction: int = 20, seed: int = 7, deviations: float = DEVIATIONS, extra: int = EXTRA_ROWS) -> DataFrame:
+    """Keys of the sampled rows with their target.
+
+    Acceptance: each row is accepted on its own with its stratum's probability, needed over there, slightly
+    raised; the others are rejected before anything is counted or moved. Correction: of the accepted rows
+    those with the smallest random numbers up to the need stay, so the count is exact. A stratum whose
+    acceptance fell short, which the raise makes rare, draws what is missing from its rejected rows. Ties
+    in the number go by key; strata with fewer rows than needed give all. Rows with a null key or stratum
+    are never drawn.
+    """
+    wanted = needs(chunks, targets, fraction).filter("rows_there > 0 and rows_needed > 0").select(
+        "target_id", *STRATUM, "rows_needed", "rows_there", F.least(F.lit(1.0), (F.col("rows_needed") + deviations * F.sqrt("rows_needed") + extra) / F.col("rows_there")).alias("rate")
+    )
+    rows = keyed(chunks.select(key, "ticker", "form_type", "item_code")).filter(F.col(key).isNotNull()).withColumn("u", uniform(F.col(key), seed))
+    part = lambda low, width: F.least(F.lit(BUCKETS - 1), F.floor((F.col("u") - low) / width * BUCKETS)).alias("bucket")
+    accepted = rows.join(wanted, STRATUM).filter("u < rate").select(key, "target_id", "u", "rows_needed", part(F.lit(0.0), F.col("rate")))
+    got = accepted.groupBy("target_id").agg(F.count("*").alias("got"))
+    short = wanted.join(got, "target_id", "left").withColumn("missing", F.least("rows_needed", "rows_there") - F.coalesce("got", F.lit(0))).filter("missing > 0 and rate < 1")
+    again = rows.join(short, STRATUM).filter("u >= rate").select(key, "target_id", "u", "missing", part(F.col("rate"), 1 - F.col("rate")))
+    return first_by_number(accepted, key, "rows_needed").unionByName(first_by_number(again, key, "missing"))
+
+
 def report(chunks: DataFrame, targets: DataFrame, fraction: int = 20, seed: int = 7) -> DataFrame:
     """Per target what was asked, what is there, what the sample holds and what is missing."""
     got = sample(chunks, targets, fraction=fraction, seed=seed).groupBy("target_id").agg(F.count("*").alias("rows_sampled"))

@@ -34,64 +34,60 @@ def records(facts: DataFrame) -> DataFrame:
     ).filter("_accession is not null and _concept is not null")
 
 
-def levels(edges: pd.DataFrame) -> pd.DataFrame:
-    """Depth of every state in the learned order, later states deeper.
+def precedence(edges: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of states of which the first comes before the second: the transitive closure of the learned transitions.
 
-    Transitions join the order from the surest to the least sure, unless they would close a cycle. edges
-    has a row per pair of states, so its size follows the kinds of forms.
+    Transitions join the order from the surest to the least sure, unless they would close a cycle; states
+    that no path connects stay without an order. edges has a row per pair of states, so its size follows
+    the kinds of forms.
     """
     edges = edges[edges["first"] != edges["then"]]
-    after: dict[str, set[str]] = {s: set() for s in {*edges["first"], *edges["then"]}}
     counts = {(a, b): n for a, b, n in zip(edges["first"], edges["then"], edges["n"])}
     won = sorted(((n - counts.get((b, a), 0), a, b) for (a, b), n in counts.items()), key=lambda x: (-x[0], x[1], x[2]))
-
-    def reaches(a: str, b: str) -> bool:
-        seen, todo = set(), [a]
-        while todo:
-            x = todo.pop()
-            if x == b:
-                return True
-            if x not in seen:
-                seen.add(x)
-                todo.extend(after[x])
-        return False
-
+    after: dict[str, set[str]] = {s: {s} for s in {*edges["first"], *edges["then"]}}
     for lead, a, b in won:
-        if lead > 0 and not reaches(b, a):
-            after[a].add(b)
-    depth = dict.fromkeys(after, 0)
-    for _ in after:
-        for a in after:
-            for b in after[a]:
-                depth[b] = max(depth[b], depth[a] + 1)
-    return pd.DataFrame(sorted(depth.items()), columns=["_state", "_level"])
+        if lead > 0 and a not in after[b]:
+            for known in after.values():
+                if a in known:
+                    known |= after[b]
+    return pd.DataFrame([(a, b) for a in sorted(after) for b in sorted(after[a]) if a != b], columns=["_first", "_then"])
 
 
 def dated(r: DataFrame) -> DataFrame:
     """Records with the time by which they are compared, also where ingested_at is missing.
 
     Precedence of states is learned from records with a time: in a group one state comes before another
-    if its last record is older than the other's first. A record without a time is placed right after
-    the latest record of its group whose state comes no later in that order; without such a record it
-    is the oldest, deeper states after others.
+    if its last record is older than the other's first. A group with records without a time gets a
+    partial order of its own: times order the states that have them, the learned precedence ties the
+    others to them and to each other. A record without a time is placed right after the latest record
+    that comes before it in that order, or else at the start; among records of one place the one further
+    down the order is the later, then that with the larger or the smaller fact_id, whichever is the later
+    one in most groups with times. Groups come to a task as states, not as records.
     """
-    states = r.filter("_at is not null").groupBy(*GROUP, "_state").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"))
-    a, b = states.alias("a"), states.alias("b")
+    ends = r.filter("_at is not null").groupBy(*GROUP).agg(F.min_by("fact_id", F.struct("_at", "fact_id")).alias("old"), F.max_by("fact_id", F.struct("_at", "fact_id")).alias("new"), F.min("_at").alias("lo"), F.max("_at").alias("hi"))
+    rising = ends.filter("lo < hi").agg(F.signum(F.coalesce(F.sum(F.signum((F.col("new") - F.col("old")).cast("double"))), F.lit(0.0))).cast("long").alias("_rising"))
+    states = r.groupBy(*GROUP, "_state").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.count_if(F.col("_at").isNull()).alias("lost"))
+    timed = states.filter("hi is not null")
+    a, b = timed.alias("a"), timed.alias("b")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in GROUP]
     edges = a.join(b, [*same, F.col("a.hi") < F.col("b.lo")]).groupBy(F.col("a._state").alias("first"), F.col("b._state").alias("then")).agg(F.count("*").alias("n"))
-    order = edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(levels, "_state string, _level int")
-    timed = r.filter("_at is not null").withColumns({"_late": F.lit(0), "_level": F.lit(0)})
-    lost = r.filter("_at is null").join(order, "_state", "left").fillna(0, ["_level"])
-    known = states.join(order, "_state", "left").fillna(0, ["_level"]).select(*[F.col(k).alias(f"k_{k}") for k in GROUP], F.col("_level").alias("k_level"), "hi")
-    before = lost.join(known, [*[F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in GROUP], F.col("k_level") <= F.col("_level")], "left")
-    placed = before.groupBy("fact_id").agg(F.max("hi").alias("_placed"))
-    lost = lost.join(placed, "fact_id", "left").withColumns({"_at": F.col("_placed"), "_late": F.lit(1)}).drop("_placed")
-    return timed.unionByName(lost)
+    order = edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(precedence, "_first string, _then string")
+    lost = states.filter("lost > 0").select(*[F.col(k).alias(f"g_{k}") for k in GROUP], F.col("_state").alias("_then"))
+    mine = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in GROUP]
+    # what comes before a lost state in its group: states of the learned order, and records of the state itself
+    pairs = lost.join(states, mine, "left").select(*[F.col(f"g_{k}") for k in GROUP], "_then", F.col("_state").alias("_first"), "hi")
+    before = pairs.join(order.withColumn("_known", F.lit(1)), ["_first", "_then"], "left").filter("_known = 1 or _first = _then")
+    placed = before.groupBy(*[f"g_{k}" for k in GROUP], "_then").agg(F.max("hi").alias("_placed"), (F.count("*") - 1).alias("_level"))
+    timed_rows = r.filter("_at is not null").withColumns({"_late": F.lit(0), "_level": F.lit(0).cast("long"), "_seq": F.lit(0).cast("long")})
+    lost_rows = r.filter("_at is null").join(placed.withColumnRenamed("_then", "g_state"), [*mine, F.col("_state") == F.col("g_state")], "left")
+    lost_rows = lost_rows.withColumns({"_at": F.col("_placed"), "_late": F.lit(1), "_level": F.coalesce("_level", F.lit(0))}).drop("_placed", "g_state", *[f"g_{k}" for k in GROUP])
+    lost_rows = lost_rows.join(F.broadcast(rising)).withColumn("_seq", F.col("fact_id") * F.col("_rising")).drop("_rising")  # one row
+    return timed_rows.unionByName(lost_rows)
 
 
 def rank_key() -> Column:
-    """Smaller is better: trusted feed, latest time, a record placed after that time first, smallest fact_id."""
-    return F.struct("_trust", (-F.coalesce("_at", F.lit(-(1 << 62)))).alias("t"), (-F.col("_late")).alias("p"), (-F.col("_level")).alias("l"), "fact_id")
+    """Smaller is better: trusted feed, latest time, a record placed after that time first and the later of these, smallest fact_id."""
+    return F.struct("_trust", (-F.coalesce("_at", F.lit(-(1 << 62)))).alias("t"), (-F.col("_late")).alias("p"), (-F.col("_level")).alias("l"), (-F.col("_seq")).alias("s"), "fact_id")
 
 
 def survivors(facts: DataFrame, least: int = 2) -> DataFrame:
@@ -127,3 +123,22 @@ def survivors(facts: DataFrame, least: int = 2) -> DataFrame:
 def found(facts: DataFrame) -> DataFrame:
     """group_id, value_fact_id and label_fact_id; only these fields are aggregated."""
     return survivors(facts).select("group_id", "value_fact_id", "label_fact_id")
+
+
+def without_times(facts: DataFrame, feed: str = "vendor") -> DataFrame:
+    """facts as if one feed gave no times, so that its records are compared by the learned order only."""
+    hidden = F.regexp_replace(F.lower("feed"), "[^a-z]", "") == feed
+    return facts.withColumn("ingested_at", F.when(hidden, F.lit(None)).otherwise(F.col("ingested_at")))
+
+
+def order_learned(facts: DataFrame, feed: str = "vendor") -> DataFrame:
+    """One row: groups of two or more records of the feed, and in how many the value record is the same with and without the feed's times."""
+    own = facts.filter(F.regexp_replace(F.lower("feed"), "[^a-z]", "") == feed)
+    others = facts.filter(F.regexp_replace(F.lower("feed"), "[^a-z]", "") != feed).withColumn("value", F.lit(None).cast("decimal(38,6)"))
+    said = found(own).select("group_id", F.col("value_fact_id").alias("with_times"))
+    # the other feeds teach the order but have no value to give
+    guessed = survivors(without_times(own, feed).unionByName(others.select(*own.columns))).filter("value_fact_id is not null").select(F.col("value_fact_id").alias("without_times"), "accession_key", "concept_key", "period_start", "period_end")
+    keys = survivors(own).select("group_id", "accession_key", "concept_key", "period_start", "period_end")
+    same = [keys[k].eqNullSafe(guessed[k]) for k in ("accession_key", "concept_key", "period_start", "period_end")]
+    both = keys.join(guessed, same).select("group_id", "without_times").join(said, "group_id")
+    return both.agg(F.count("*").alias("groups"), F.count_if(F.col("with_times").eqNullSafe(F.col("without_times"))).alias("agreed"))
