@@ -31,7 +31,7 @@ def _on(*names: str):
 
 
 QUERIES = {
-    "p1_found": _on("chunks")(lambda c: splitting.totals(c, "chunk_id", "text").filter(F.col("tokens") > splitting.LIMIT).select(F.col("key").alias("chunk_id"))),
+    "p1_found": _on("chunks")(lambda c: splitting.pieces(c, "chunk_id", "text").filter("piece_no = 1").select("chunk_id")),
     "p1_pieces": _on("chunks")(lambda c: splitting.pieces(c, "chunk_id", "text")),
     "p2_found": _on("chunks")(boilerplate.furniture),
     "p2_lines": _on("chunks")(boilerplate.lines),

@@ -50,10 +50,28 @@ def test_totals_do_not_depend_on_ranges(spark):
     df = spark.createDataFrame([("a", _text(300)), ("b", " a\t b \r\n"), ("c", ""), ("d", None), (None, "x")], "id string, text string")
     want = {"a": 300, "b": 2, "c": 0}
     for size in (1, 7, 65536):
-        assert {r["key"]: r["tokens"] for r in splitting.totals(df, "id", "text", size).collect()} == want
+        assert {r["key"]: r["tokens"] for r in splitting.totals(splitting.ranges(df, "id", "text", size)).collect()} == want
     assert splitting.pieces(df.limit(0), "id", "text").count() == 0
 
 
+def test_cuts_do_not_depend_on_where_ranges_fall(spark, tmp_path):
+    r = random.Random(9)
+    gaps = [" ", "\n" + " " * 150, "  \n\n" + " " * 210 + "\n", ". ", '." ', "?')  ", ", ", "\t" * 130, "!" + " " * 120]
+    text = "".join(f"w{i}" + r.choice(gaps) for i in range(2500))
+    (tmp_path / "one.txt").write_text(text)
+    df = spark.createDataFrame([("a", text)], "id string, text string")
+    rows = lambda d: sorted(tuple(x)[1:] for x in d.collect())
+    want = rows(splitting.pieces(df, "id", "text", size=65536))
+    assert len(want) > 4
+    assert rows(splitting.pieces(df, "id", "text", size=100, block=600)) == want
+    by_file = splitting.file_ranges(spark, str(tmp_path), 1000)
+    assert rows(splitting.pieces_of_ranges(by_file, size=1000)) == want
+    # kinds by eye: the boundary after each gap
+    kinds = [k for x in splitting.boundary_table(splitting.ranges(df, "id", "text", 64)).orderBy("range_no").collect() for k in x["kinds"]]
+    seen = [g for g in re.findall(r"w\d+([^w\d]+)", text)][:-1]
+    assert kinds[1:] == [4 if g.count("\n") > 1 else 3 if "\n" in g else 2 if g[0] in ".?!" else 1 if g[0] == "," else 0 for g in seen]
+
+
 # 2 page furniture
 
 
