@@ -25,8 +25,8 @@ from quarryline.session import checkpointed
 
 #: Words of a piece, and similarity from which two texts are near-duplicates, where a query names none.
 WORDS, SIMILARITY = 5, 0.8
-#: Bits of a sketch, in words of WORD bits that the tries go down by.
-BITS, WORD = 128, 64
+#: Bits of a sketch, and bits by which the tries go down: small steps where nodes are shared, then the paths that no longer branch in longer ones.
+BITS, STEPS = 128, (8, 8, 16, 32, 64)
 #: Classes of size that a ratio of sizes equal to the threshold spans.
 CLASSES = 2
 #: Buckets of the histogram of pieces by which rare ones come first; one array of this size is shared with all tasks.
@@ -35,6 +35,8 @@ HISTOGRAM, SEGMENTS = 1 << 20, 64
 DEVIATIONS = 5.0
 #: Sketches of a trie that are joined at once, a larger one part by part; pairs of sketches at hand at most; postings gathered before tries are joined.
 PART, PAIRS, GATHERED = 1024, 4_000_000, 100_000
+#: A trie of more sketches is not joined where it was gathered but spread over tasks, in blocks of so many sketches.
+SPREAD = 8192
 
 _WORD = re.compile("[a-z0-9]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +99,20 @@ def prefix(n: int, similarity: float) -> int:
 def budgets(similarity: float) -> list[int]:
     """Error budget at every depth: expected differing bits at the threshold, plus deviations."""
     p = (1 - similarity) / 2
-    return [math.ceil(b * p + DEVIATIONS * math.sqrt(b * p * (1 - p))) for b in range(WORD, BITS + 1, WORD)]
+    return [math.ceil(b * p + DEVIATIONS * math.sqrt(b * p * (1 - p))) for b in np.cumsum(STEPS)]
+
+
+def words_of(sketches: list[bytes]) -> np.ndarray:
+    """A row per sketch with its bits in STEPS, as unsigned numbers."""
+    raw = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), BITS // 8).astype(np.uint64)
+    out, at = [], 0
+    for step in STEPS:
+        word = np.zeros(len(raw), dtype=np.uint64)
+        for k in range(at // 8, (at + step) // 8):
+            word = (word << np.uint64(8)) | raw[:, k]
+        out.append(word)
+        at += step
+    return np.stack(out, axis=1)
 
 
 def size_class(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -130,7 +145,7 @@ def expanded(fa: np.ndarray, ta: np.ndarray, fb: np.ndarray, tb: np.ndarray) ->
 def trie_join(a: tuple, b: tuple | None, errors: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places of the sketches under one root that differ in no more bits than the budget of every depth.
 
-    a and b are roots, size classes and sketches, rows of BITS / WORD numbers. Without b, of a and later
+    a and b are roots, size classes and sketches, rows of a number per step. Without b, of a and later
     ones of a under the same root; with b, of a and b, which have one root. A node of a trie is a run of
     sorted rows that begin alike: root, size class, then the words of the sketch. Pairs of nodes go down
     together to the pairs of their children; they are dropped when the size classes are too far apart or
@@ -233,12 +248,13 @@ def hash_name(name: str) -> int:
     return xxh3_64_intdigest(name) >> 8
 
 
-def candidates(posted: DataFrame, similarity: float) -> DataFrame:
+def candidates(posted: DataFrame, similarity: float, spread: int = SPREAD) -> DataFrame:
     """Pairs of set ids, smaller first, that some trie brings to its leaves within the error budget, once each.
 
     Postings are sorted by root. Small tries go down together; a trie of more than PART sketches is joined
-    part by part, so the work at hand is bounded and memory follows the sketches of one root. A pair also
-    has to have sizes that allow the similarity, and enough pieces left from the shared root on.
+    part by part, so the work at hand is bounded. A trie of more than spread sketches is passed on instead:
+    its sketches are dealt to blocks and every two blocks meet in a task of their own. A pair also has to
+    have sizes that allow the similarity, and enough pieces left from the shared root on.
     """
     errors = budgets(similarity)
 
@@ -253,6 +269,21 @@ def candidates(posted: DataFrame, similarity: float) -> DataFrame:
         side = lambda x: (x[0], size_class(x[2], similarity), x[4])
         return met(*trie_join(side(p), None if q is None else side(q), errors), p, p if q is None else q)
 
+    def read(b: pd.DataFrame) -> tuple:
+        return (*(b[c].to_numpy() for c in ("root", "id", "pieces", "place")), words_of(list(b["bits"])))
+
+    def packed(rows: tuple, at: np.ndarray) -> pd.DataFrame:
+        """Postings as they came."""
+        raw = np.concatenate([rows[4][at, k].astype(f">u{step // 8}").view(np.uint8).reshape(len(at), -1) for k, step in enumerate(STEPS)], axis=1)
+        return pd.DataFrame({"root": rows[0][at], "id": rows[1][at], "pieces": rows[2][at], "place": rows[3][at], "bits": [x.tobytes() for x in raw]})
+
+    def in_parts(rows: tuple) -> Iterator[pd.DataFrame]:
+        parts = [tuple(x[k : k + PART] for x in rows) for k in range(0, len(rows[0]), PART)]
+        for n, p in enumerate(parts):
+            yield joined(p, None)
+            for q in parts[:n]:
+                yield joined(p, q)
+
     def tries(rows: tuple) -> Iterator[pd.DataFrame]:
         # rows hold whole tries: roots, ids, sizes, places, sketches
         cut = np.flatnonzero(np.diff(rows[0])) + 1
@@ -272,33 +303,101 @@ def candidates(posted: DataFrame, similarity: float) -> DataFrame:
             yield joined(part, None)
         for lo, hi in zip(starts[width > PART], ends[width > PART]):
             first = np.unique(rows[1][lo:hi], return_index=True)[1] + lo  # a set that several partitions posted
-            parts = [tuple(x[first[k : k + PART]] for x in rows) for k in range(0, len(first), PART)]
-            for n, p in enumerate(parts):
-                yield joined(p, None)
-                for q in parts[:n]:
-                    yield joined(p, q)
+            yield from in_parts(tuple(x[first] for x in rows))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        size = 0
+        size, large = 0, None
         for b in batches:
             if not len(b):
                 continue
-            sketches = np.frombuffer(b"".join(b["bits"]), dtype=">u8").astype(np.uint64).reshape(len(b), BITS // WORD)
-            held.append((*(b[c].to_numpy() for c in ("root", "id", "pieces", "place")), sketches))
-            size += len(b)
+            new = read(b)
+            if large is not None:  # a trie that is passed on, row by row as it comes
+                more = int(np.searchsorted(new[0], large, "right"))
+                if more:
+                    yield packed(new, np.arange(more))
+                if more == len(b):
+                    continue
+                new, large = tuple(x[more:] for x in new), None
+            held.append(new)
+            size += len(new[0])
             if size < GATHERED:
                 continue
             rows = tuple(np.concatenate(x) for x in zip(*held))
             last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last trie may go on
-            yield from tries(tuple(x[:last] for x in rows))
-            held = [tuple(x[last:] for x in rows)]
-            size = min(len(rows[0]) - last, GATHERED // 2)
+            yield from whole(tuple(x[:last] for x in rows))
+            rest = tuple(x[last:] for x in rows)
+            held, size = [rest], min(len(rest[0]), GATHERED // 2)
+            if len(rest[0]) > spread:
+                yield packed(rest, np.arange(len(rest[0])))
+                held, size, large = [], 0, rest[0][0]
         if held:
-            yield from tries(tuple(np.concatenate(x) for x in zip(*held)))
+            yield from whole(tuple(np.concatenate(x) for x in zip(*held)))
+
+    def whole(rows: tuple) -> Iterator[pd.DataFrame]:
+        if not len(rows[0]):
+            return
+        _, place, width = np.unique(rows[0], return_inverse=True, return_counts=True)
+        big = width[place] > spread
+        if big.any():
+            yield packed(rows, np.flatnonzero(big))
+            rows = tuple(x[~big] for x in rows)
+        if len(rows[0]):
+            yield from tries(rows)
+
+    # a and b of a pair, or a posting that is passed on
+    schema = "a long, b long, root long, id long, pieces int, place int, bits binary"
+    order = schema.replace(",", "").split()[::2]
+
+    def filled(f):
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for out in f(batches):
+                if len(out):
+                    yield out.reindex(columns=order).astype({c: "Int64" for c in ("a", "b", "root", "id")} | {c: "Int32" for c in ("pieces", "place")})
+
+        return rows
+
+    first = checkpointed(posted.repartition("root").sortWithinPartitions("root").mapInPandas(filled(join), schema))
+    pairs = first.filter("a is not null").select("a", "b")
+    passed = first.filter("root is not null").select("root", "id", "pieces", "place", "bits").dropDuplicates(["root", "id"])
+    if passed.isEmpty():
+        return pairs.distinct()
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Two blocks of one root, or one with itself, that come one after the other."""
+        name, held = None, []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            if held:
+                rows = tuple(np.concatenate(x) for x in zip(*held))
+                held.clear()
+                sides = [tuple(x[rows[5] == side] for x in rows[:5]) for side in sorted({name[1], name[2]})]
+                if len(sides) == 1:
+                    yield from in_parts(sides[0])
+                else:
+                    cut = lambda r: [tuple(x[k : k + PART] for x in r) for k in range(0, len(r[0]), PART)]
+                    for p in cut(sides[0]):
+                        for q in cut(sides[1]):
+                            yield joined(p, q)
 
-    found = posted.repartition("root").sortWithinPartitions("root").mapInPandas(join, "a long, b long")
-    return found.distinct()
+        for b in batches:
+            if not len(b):
+                continue
+            names = b[["root", "lo", "hi"]].to_numpy()
+            new = (*read(b), b["block"].to_numpy())
+            cut = np.flatnonzero((np.diff(names, axis=0) != 0).any(axis=1)) + 1
+            for lo, hi in zip(np.append(0, cut), np.append(cut, len(b))):
+                if name != tuple(names[lo]):
+                    yield from flush()
+                    name = tuple(names[lo])
+                held.append(tuple(x[lo:hi] for x in new))
+        yield from flush()
+
+    counts = passed.groupBy("root").agg(F.ceil(F.count("*") / (spread // 2)).cast("int").alias("blocks"))
+    dealt = passed.join(counts, "root").withColumn("block", F.pmod("id", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "pieces", "place", "bits")
+    more = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInPandas(meet, "a long, b long")
+    return pairs.unionByName(more).distinct()
 
 
 def jaccard(words: int):
@@ -320,8 +419,8 @@ def jaccard(words: int):
     return similarity
 
 
-def identified(texts: DataFrame, words: int) -> DataFrame:
-    """kind, key and id of the set of every text; texts too short for a piece are left out."""
+def set_name(words: int):
+    """Id of the set of a text, null for a text too short for a piece."""
 
     @F.pandas_udf("long")
     def name(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -330,7 +429,12 @@ def identified(texts: DataFrame, words: int) -> DataFrame:
             got = (pieces(t) if t else () for t in rows)
             yield pd.Series([set_id(k, p) if len(p) else None for k, p in zip(kinds, got)], dtype="Int64")
 
-    return texts.select("kind", "key", name("kind", "text").alias("id")).filter("id is not null")
+    return name
+
+
+def identified(texts: DataFrame, words: int) -> DataFrame:
+    """kind, key and id of the set of every text; texts too short for a piece are left out."""
+    return texts.select("kind", "key", set_name(words)("kind", "text").alias("id")).filter("id is not null")
 
 
 def similar_sets(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -344,7 +448,10 @@ def similar_sets(texts: DataFrame, words: int = WORDS, similarity: float = SIMIL
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # the text of each set in a pair, from the first of its keys
     chosen = named.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("kind", "key")).alias("first")).select("id", "first.kind", "first.key")
-    shown = checkpointed(chosen.join(texts, ["kind", "key"]).dropDuplicates(["id"]).select("id", "text"))
+    # a key may be repeated with another text, so the set of the text is named again
+    candidates_of = chosen.join(texts, ["kind", "key"])
+    same = candidates_of.withColumn("own", set_name(words)("kind", "text"))
+    shown = checkpointed(same.filter("id = own").groupBy("id").agg(F.min("text").alias("text")))
     a, b = shown.select(F.col("id").alias("a"), F.col("text").alias("text_a")), shown.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     exact = pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(words)("text_a", "text_b").alias("similarity"))
     return exact.filter(F.col("similarity") >= similarity - 1e-9), named

@@ -201,6 +201,22 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(3000)} | {i: 10_000 for i in range(10_000, 10_301)} | {20_000: 20_000, 20_001: 20_000, 30_000: 30_000}
 
 
+def test_tries_spread_over_tasks_give_the_same_pairs(spark):
+    r = random.Random(8)
+    # every text holds the same rare words, so one root holds them all
+    rows = [("p", f"k{i:03}", " ".join(["alpha beta gamma delta"] + [f"w{(i // 3) * 50 + j}" if r.random() < 0.99 else "x" for j in range(40)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "kind string, key string, text string")
+    posted = neardup.postings(df, 2, 0.7, neardup.histogram(df, 2))
+    one = {tuple(x) for x in neardup.candidates(posted, 0.7).collect()}
+    assert {tuple(x) for x in neardup.candidates(posted, 0.7, spread=2).collect()} == one and one
+
+
+def test_a_repeated_key_keeps_the_text_of_its_set(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([("p", "k", a), ("p", "k", b), ("p", "m", a + " x"), ("p", "n", b + " x")], "kind string, key string, text string")
+    assert {tuple(r)[1:] for r in neardup.pairs(df, 2, 0.7).collect()} == {("k", "m"), ("k", "n")}
+
+
 # 5 neighbours
 
 
