@@ -9,18 +9,18 @@ are too few or do not agree.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.keys import accession_key, concept_key
+from quarryline.session import checkpointed
 
 #: Conversions between units of one dimension, as powers of ten.
 KNOWN_POWERS = (-4, -2, 0, 3, 6, 9)
-#: A linked pair of sources counts from so many entities on, and if so large a share of them agrees.
+#: A linked pair of sources counts from so many entities on, and if so large a share of them agrees; otherwise the words decide, which found_by reports.
 MIN_LINKS, MIN_AGREEMENT = 8, 0.6
-#: Longest source name that is kept as it is; of one longer the start and a hash of the whole are kept, so the table of sources stays narrow.
-NAME_CHARS = 60
+#: A known conversion keeps zero at zero: a link is used only if its median offset is at most this share of the median value.
+MAX_OFFSET = 0.01
 AMOUNT = "decimal(38,7)"
 SPAN = "tagged span"
 
@@ -62,23 +62,18 @@ def label_phrase(label: Column) -> Column:
 
 
 def shifted(value: Column, power: Column) -> Column:
-    """value * 10 ** power for powers from -12 to 12, null beyond them or on overflow."""
-    v = value.try_cast("decimal(28,8)")
+    """value * 10 ** power for any power, rounded to the decimals of AMOUNT; null where the result overflows.
 
-    def times(powers: range, kind: str) -> Column:
-        factor = F.lit(None).cast(kind)
-        for p in powers:
-            factor = F.when(power == p, F.lit(f"1e{p}").cast(kind)).otherwise(factor)
-        return F.try_multiply(v, factor).try_cast(AMOUNT)
-
-    # each range in a type whose product keeps the decimals of an amount
-    low, high = times(range(-12, -6), "decimal(13,12)"), times(range(10, 13), "decimal(13,0)")
-    return F.when(power < -6, low).when(power > 9, high).otherwise(times(range(-6, 10), "decimal(16,6)"))
-
-
-def source_name(name: Column) -> Column:
-    """name up to NAME_CHARS, else its start and a hash of the whole, so different names stay different."""
-    return F.when(F.length(name) <= NAME_CHARS, name).otherwise(F.concat(F.substring(name, 1, NAME_CHARS), F.lit("#"), F.md5(name)))
+    The decimal point is moved in the printed digits, so no factor limits the power.
+    """
+    text = value.try_cast("decimal(38,8)").cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    # the digits have 8 decimals, after the shift 8 - power; no decimal has more than 38 digits
+    places = F.greatest(F.lit(-40), F.least(F.lit(80), F.lit(8) - power))
+    long = F.lpad(digits, F.greatest(F.length(digits), places + 1), "0")
+    moved = F.when(places <= 0, F.concat(digits, F.repeat(F.lit("0"), -places))).otherwise(F.concat(F.substring(long, F.lit(1), F.length(long) - places), F.lit("."), F.right(long, places)))
+    return F.when(power == 0, value.try_cast(AMOUNT)).otherwise(F.concat(sign, moved).try_cast(AMOUNT))
 
 
 def facts_of(facts: DataFrame) -> DataFrame:
@@ -95,7 +90,7 @@ def facts_of(facts: DataFrame) -> DataFrame:
         "period_end",
         F.col("value").cast("decimal(38,6)").alias("value"),
         kind.alias("dimension"),
-        source_name(F.concat_ws("|", kind, unit, phrase)).alias("source"),
+        F.concat_ws("|", kind, unit, phrase).alias("source"),
         named.alias("named"),
     )
 
@@ -157,46 +152,57 @@ def linked(facts: DataFrame, spans: DataFrame) -> DataFrame:
         "source", "other", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")
     ).filter("a * b > 0").withColumn("ratio", F.log10(F.col("b") / F.col("a")))
     bins = both.groupBy("source", "other", F.round("ratio", 1).alias("bin")).agg(
-        F.count("*").alias("n"), F.percentile_approx("ratio", 0.5).alias("ratio"), F.percentile_approx(F.expr("b - a * pow(10, round(ratio))"), 0.5).alias("offset")
+        F.count("*").alias("n"), F.percentile_approx("ratio", 0.5).alias("ratio"), F.percentile_approx(F.expr("b - a * pow(10, round(ratio))"), 0.5).alias("offset"),
+        F.percentile_approx(F.abs("b"), 0.5).alias("level"),
     )
-    return bins.groupBy("source", "other").agg(F.sum("n").alias("links"), F.max_by(F.struct("n", "ratio", "offset"), F.struct("n", "bin")).alias("m")).select(
-        "source", "other", "links", (F.col("m.n") / F.col("links")).alias("agreement"), F.col("m.ratio").alias("ratio"), F.col("m.offset").alias("offset")
+    return bins.groupBy("source", "other").agg(F.sum("n").alias("links"), F.max_by(F.struct("n", "ratio", "offset", "level"), F.struct("n", "bin")).alias("m")).select(
+        "source", "other", "links", (F.col("m.n") / F.col("links")).alias("agreement"), F.col("m.ratio").alias("ratio"), F.col("m.offset").alias("offset"), F.col("m.level").alias("level")
     )
 
 
-def propagate(edges: pd.DataFrame) -> pd.DataFrame:
-    """Powers of ten reached from the sources that name no scale, strongest link first.
+def snapped(ratio: Column) -> Column:
+    """Known power nearest to a log ratio if it is within 0.05 of it, else null."""
+    near = F.array_min(F.transform(F.array(*[F.lit(p) for p in KNOWN_POWERS]), lambda p: F.struct(F.abs(p - ratio).alias("off"), p.alias("p"))))
+    return F.when(near["off"] <= 0.05, near["p"])
+
 
-    edges holds the named power of both ends; it has one row per linked pair of unit names, so its
-    size follows the names in use, not the facts.
+def propagated(edges: DataFrame) -> DataFrame:
+    """source, power, offset and links of the sources that links reach from those that name no scale.
+
+    edges has source, other, links, agreement, ratio, offset and level of the linked values, and the named
+    power of both ends. The known sources grow round by round, each new one by its strongest link, until
+    none is added; rounds follow the length of the longest path. The tables hold a row per pair of unit
+    names and stay distributed.
     """
-    known = {SPAN: 0}
-    for name, said in (("source", "named"), ("other", "other_named")):
-        known |= {s: 0 for s, p in zip(edges[name], edges[said]) if p == 0}
-    links = edges[(edges["links"] >= MIN_LINKS) & (edges["agreement"] >= MIN_AGREEMENT)]
-    links = links.sort_values(["links", "source", "other"], ascending=[False, True, True])
-    found: dict[str, tuple[int, float, int]] = {}
-    for _ in range(len(known) + len(links)):
-        grown = False
-        for source, other, ratio, offset, n in zip(links["source"], links["other"], links["ratio"], links["offset"], links["links"]):
-            for new, old, r in ((source, other, ratio), (other, source, -ratio)):
-                if new not in known and old in known:
-                    power = min(KNOWN_POWERS, key=lambda p: abs(p - (known[old] + r)))
-                    if abs(power - (known[old] + r)) <= 0.05:
-                        known[new], found[new], grown = power, (power, float(offset), int(n)), True
-        if not grown:
-            break
-    return pd.DataFrame([(s, *x) for s, x in sorted(found.items())], columns=["source", "power", "offset", "links"])
+    good = checkpointed(edges.filter((F.col("links") >= MIN_LINKS) & (F.col("agreement") >= MIN_AGREEMENT) & (F.abs("offset") <= MAX_OFFSET * F.col("level"))))
+    both = good.select("source", "other", "ratio", "offset", "links").unionByName(
+        good.select(F.col("other").alias("source"), F.col("source").alias("other"), (-F.col("ratio")).alias("ratio"), "offset", "links")
+    )
+    base = edges.select(F.col("source").alias("s"), F.col("named").alias("p")).unionByName(edges.select(F.col("other").alias("s"), F.col("other_named").alias("p")))
+    base = base.filter((F.col("p") == 0) | (F.col("s") == SPAN)).select(F.col("s").alias("known"), F.lit(0).alias("at")).distinct()
+    known, found = checkpointed(base), None
+    while True:
+        power = snapped(F.col("at") + F.col("ratio"))
+        reached = both.join(known, both["other"] == known["known"]).join(known.select(F.col("known").alias("source")), "source", "left_anti").withColumn("power", power).filter("power is not null")
+        new = checkpointed(reached.groupBy("source").agg(F.max_by(F.struct("power", "offset", "links"), F.struct("links", "other")).alias("b")).select("source", "b.power", "b.offset", "b.links"))
+        if new.isEmpty():
+            return new if found is None else checkpointed(found)
+        found = new if found is None else found.unionByName(new)
+        known = checkpointed(known.unionByName(new.select(F.col("source").alias("known"), F.col("power").alias("at"))))
 
 
 def unit_sources(facts: DataFrame, spans: DataFrame) -> DataFrame:
-    """One row per source: the power of ten to common units, how it was found, and its links."""
+    """One row per source: the power of ten to common units, how it was found, and its links.
+
+    found_by is links where linked sources gave the power, base where a source names no scale, and words
+    where its own words decided, as its links are too few, do not agree or do not keep zero at zero.
+    """
     names = facts.groupBy("source").agg(F.max("named").alias("named"), F.count("*").alias("facts"))
     far = names.select(F.col("source").alias("other"), F.col("named").alias("other_named"))
-    edges = linked(facts, spans).join(names.select("source", "named"), "source").join(far, "other", "left").withColumn("_all", F.lit(0))
-    learned = edges.groupBy("_all").applyInPandas(propagate, "source string, power int, offset double, links long")
-    return names.join(learned, "source", "left").select(
-        "source",
+    edges = checkpointed(linked(facts, spans).join(names.select("source", "named"), "source").join(far, "other", "left"))
+    learned = propagated(edges).withColumnRenamed("source", "reached")
+    return names.join(learned, names["source"] == learned["reached"], "left").select(
+        names["source"],
         F.coalesce("power", "named").alias("power"),
         F.when(F.col("power").isNotNull(), "links").when(F.col("named") == 0, "base").otherwise("words").alias("found_by"),
         "named",

@@ -199,10 +199,9 @@ def test_amounts_in_common_units(spark):
 
 
 def test_a_source_whose_words_name_no_scale_but_whose_values_do(spark):
-    import pandas as pd
-
-    e = pd.DataFrame([("money|odd|", "money|usd|", 50, 0.9, 3.0, 0.0, 5, 0), ("money|far|", "money|odd|", 50, 0.9, 3.0, 0.0, 5, 5), ("money|few|", "money|usd|", 2, 1.0, 3.0, 0.0, 5, 0)], columns=["source", "other", "links", "agreement", "ratio", "offset", "named", "other_named"])
-    assert {r.source: r.power for r in units.propagate(e).itertuples()} == {"money|odd|": 3, "money|far|": 6}
+    e = [("money|odd|", "money|usd|", 50, 0.9, 3.0, 0.0, 1.0, 5, 0), ("money|far|", "money|odd|", 50, 0.9, 3.0, 0.0, 1.0, 5, 5), ("money|few|", "money|usd|", 2, 1.0, 3.0, 0.0, 1.0, 5, 0), ("money|moved|", "money|usd|", 50, 0.9, 3.0, 0.5, 1.0, 5, 0)]
+    df = spark.createDataFrame(e, "source string, other string, links long, agreement double, ratio double, offset double, level double, named int, other_named int")
+    assert {r["source"]: r["power"] for r in units.propagated(df).collect()} == {"money|odd|": 3, "money|far|": 6}
 
 
 def test_amounts_of_any_power_and_long_source_names(spark):
@@ -210,10 +209,12 @@ def test_amounts_of_any_power_and_long_source_names(spark):
 
     from quarryline.operators import units
 
-    powers = {1: "15", -1: "0.15", 4: "15000", 5: "150000", 10: "15000000000", 12: "1500000000000", -7: "0.0000002", 13: None}
-    df = spark.createDataFrame([(p, Decimal("1.5")) for p in powers], "p int, v decimal(38,6)")
-    got = {r["p"]: r["x"] for r in df.select("p", units.shifted(F.col("v"), F.col("p")).alias("x")).collect()}
-    assert got == {p: None if x is None else Decimal(x) for p, x in powers.items()}
-    names = ["money|usd|short", "x" * 60 + "thousands", "x" * 60 + "millions"]
-    told = [r["s"] for r in spark.createDataFrame([(n,) for n in names], "n string").select(units.source_name(F.col("n")).alias("s")).collect()]
-    assert told[0] == names[0] and len(set(told)) == 3
+    powers = {1: "15", -1: "0.15", 4: "15000", 5: "150000", 0: "1.5", 10: "15000000000", 12: "1500000000000", -7: "0.0000002", 13: "15000000000000", -30: "0", 31: None, 500: None}
+    for sign in (1, -1):
+        df = spark.createDataFrame([(p, sign * Decimal("1.5")) for p in powers], "p int, v decimal(38,6)")
+        got = {r["p"]: r["x"] for r in df.select("p", units.shifted(F.col("v"), F.col("p")).alias("x")).collect()}
+        assert got == {p: None if x is None else sign * Decimal(x) for p, x in powers.items()}
+    long = [("money|usd|" + "x" * 60 + w, w) for w in ("thousands", "millions")]
+    facts = spark.createDataFrame([(n, "1", "Assets", 1, u, None) for n, (u, _) in enumerate(long)], "fact_id long, accession string, concept string, value int, unit string, label string")
+    f = units.facts_of(facts.withColumns({"period_start": F.lit(None).cast("date"), "period_end": F.lit("2020-01-01").cast("date")}))
+    assert len({r["source"] for r in f.collect()}) == 2
