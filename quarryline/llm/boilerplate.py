@@ -1,9 +1,14 @@
 """Page furniture told from the body by a graphical model on the tree of a page.
 
-A page is a tree: page, blocks (runs of lines of one layout), lines. Every node has a label. Parent and
-child are tied by potentials, lines also by how their words and layout look; sum-product messages from
-the lines to the page and back give each line its probability to belong to the body. Potentials and line
-scores are learned from pages that are labelled by example lines.
+A page is a tree: page, regions (tables and the text between), blocks (runs of lines of one layout),
+lines. Every node has a label. Parent and child are tied by potentials, lines also by how their words and
+layout look; sum-product messages from the lines to the page and back give each line its probability to
+belong to the body.
+
+No list of words says what furniture is. The labelled pages are those that are a table: what is neither
+caption nor row of it came from the page around. The same furniture stands on all pages, so a first model
+that tells these lines from all others gives it about the same score there, and body lines none; lines of
+other pages are labelled by that score, and the model is fitted again.
 """
 
 from __future__ import annotations
@@ -18,114 +23,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many pages are labelled for training, drawn by hash, with at most so many characters each.
-PAGES, PAGE_CHARS = 3000, 6000
-#: A word is known from so many lines on; rounds of training; smoothing of the potentials.
-LEAST_LINES, ROUNDS, SMOOTH = 4, 12, 1.0
+#: At most so many pages are used for training, those with the smallest hash of their key.
+PAGES = 10_000
+#: A page is a labelled one if so large a share of its lines are rows or captions of a table.
+TABLE_SHARE = 0.5
+#: A word is known from so many lines on; rounds and lines of a step of training; how often lines are labelled anew; smoothing of the potentials.
+LEAST_LINES, ROUNDS, STEP, FITS, SMOOTH = 3, 10, 256, 4, 1.0
+#: Lines of other pages that score between these shares of what labelled lines score are left out of the next fit.
+DOUBT = (0.02, 0.1)
 #: Power of the potential between block and line: words of a line and its block tell partly the same.
 TEMPER = 0.5
 #: Lines below this probability of belonging to the body are furniture.
 BODY = 0.5
 
-#: Entries of site menus.
-MENU = (
-    "Home|Search|Login|Contact|FAQ|Careers|Suppliers|Locations|Investors|Filings|Newsroom|Governance|Leadership|Sustainability|Subscribe|Resources|Financials"
-    "|Our Business|Stock Info|Media Kit|Annual Reports|Analyst Coverage|Site Map|Events & Presentations|About Us|Privacy|Terms of Use|Accessibility"
-)
-#: Furniture of filing pages, line by line, by which sample pages are labelled. # is a number, N a name, T a ticker, F a form.
-EXAMPLES = r"""
-- # -
-#
-F-#
-[#]
-Page #
-Page # of #
-# | P a g e
-Table of Contents
-TABLE OF CONTENTS
-Index to Financial Statements
-Back to Contents
-Return to top ^
-Jump to section
-Skip to main content
-< Previous Next >
-Toggle navigation Menu Close
-Hide sidebar Show highlights
-Zoom #% #% #%
-Text size: A- A A+
-View as HTML | View as text
-Print | Download | RSS
-Download as PDF Download as XLS
-Share this page: Email Print Copy link
-Follow us on social channels
-Sort by date | relevance
-Filter by: Year Form Group [Apply]
-Results # - # of #
-Show # # # per page
-Add to briefcase (# items)
-You may also like
-Related documents
-Most read
-Ask investor relations a question
-Request printed materials
-Get our newsletter - enter your e-mail address here
-Sign up for e-mail alerts
-Register for investor updates >>
-Slide deck - M #
-Fact sheet - M #
-Webcast replay - M #
-Reject | Accept
-Accept all
-Manage preferences
-See our cookie policy
-By continuing you agree
-By clicking OK you allow analytics partners to set identifiers on your browser. OK No thanks
-Manage consent Necessary (always on) Statistics Marketing
-Your privacy choices: Accept necessary only / Accept all / Settings
-Before you proceed: choose which tracking technologies we may store. [Save choices]
-SECURITIES AND MARKETS PORTAL T F #
-DOCUMENT VIEWER T F #
-eReport reader T F #
-Stock quote: T | Vol # | High # | Low #
-T # +#% (delayed # min)
-T # -#% (delayed # min)
-T Form F p. #
-"""
-#: Longer furniture by its form: cookie notices, paths, copyright and running heads.
-FORMS = (
-    r"(we use cookies|this site uses cookies|cookies help us|our website places cookies on your device) to .{5,60}\.( (reject \| accept|accept all|manage preferences|see our cookie policy|by continuing you agree)\.)?",
-    r"(home|investors|ir)( > [^>|]{2,40}){2,}",
-    r"(©|\(c\)|copyright) ?[12]\d{3} .{3,80}(all rights reserved|legal notice|imprint|privacy|terms of use|accessibility).*",
-    r".{3,60}\bproxy statement \(pdf, [\d.]+ mb\)",
-    r".{3,60} investor portal\. powered by .{3,40} web services",
-    r"\d{1,4} {2,}[^.|]{3,50}(inc\.?|corp|co|corporation|bancorp|plc|ltd|labs|group|holdings|industries|energy)\.?",
-    r"[^.|]{3,50}(inc\.?|corp|co|corporation|bancorp|plc|ltd)\.? \| [12]\d{3} form [^|]{3,10} \| \d{1,4}",
-    r"[^.|]{3,50}(inc\.?|corp|co|corporation|bancorp|plc|ltd)\.? (form )?10-[kq](/a)? \d{1,4}",
-)
-_MONTHS = r"\b(January|February|March|April|May|June|July|August|September|October|November|December)\b"
-_FORM = re.compile("|".join(f"(?:{x})" for x in FORMS), re.IGNORECASE)
-_MENU = frozenset(x.lower() for x in MENU.split("|"))
-
-
-def shape(line: str) -> str:
-    """Line with numbers, months, forms and tickers masked and spaces collapsed."""
-    line = re.sub(r"\b10[-‑ ]?[KQ](?:/A)?\b", "F", line)
-    line = re.sub(r"\s+", " ", re.sub(r"\d[\d,.]*", "#", re.sub(_MONTHS, "M", line))).strip()
-    return re.sub(r"\b[A-Z]{5}\b(?= (?:F|#|\||Form))", "T", line)
-
-
-_SHAPES = frozenset(x.strip().lower() for x in EXAMPLES.strip().split("\n"))
-
-
-def labelled_furniture(line: str) -> bool:
-    """Whether the examples call a line furniture."""
-    text = line.strip()
-    if shape(text).lower() in _SHAPES or _FORM.fullmatch(text):
-        return True
-    parts = [p.strip().lower() for p in re.split(r"\s*[|»/>·•]\s*|\s{2,}|\t", text) if p.strip()]
-    return bool(parts) and all(p in _MENU for p in parts)
-
-
 _WORD = re.compile(r"[A-Za-zÀ-ÿ]+|\d[\d,.]*|[^\sA-Za-zÀ-ÿ\d]")
 #: Layouts of lines; lines of one layout that follow each other form a block.
 LAYOUTS = ("table", "long", "sentence", "short")
@@ -188,18 +98,29 @@ def numbers(line: str, words: dict[str, int]) -> list[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of known features, and log potentials of line given block, block given page and layout, and page."""
+    """Weights of known features, and log potentials of line given block, block given region and layout, region given page and kind, and page."""
 
     words: dict[str, int]
     weights: np.ndarray
     line: np.ndarray
     block: np.ndarray
+    region: np.ndarray
     page: np.ndarray
 
 
-def tree(lines: list[str]) -> tuple[list[int], list[int]]:
-    """Block of every line, and the layout of every block; empty lines part blocks of short lines."""
-    blocks, kinds, last = [], [], -1
+@dataclass(frozen=True)
+class Tree:
+    """Block of every line (-1 for an empty one), layout and region of every block, kind of every region: 0 table, 1 text."""
+
+    blocks: np.ndarray
+    layouts: np.ndarray
+    regions: np.ndarray
+    kinds: np.ndarray
+
+
+def tree(lines: list[str]) -> Tree:
+    """Tree of a page; empty lines part blocks."""
+    blocks, layouts, regions, kinds, last = [], [], [], [], -1
     for text in lines:
         if not text.strip():
             blocks.append(-1)
@@ -207,36 +128,49 @@ def tree(lines: list[str]) -> tuple[list[int], list[int]]:
             continue
         kind = layout(text)
         if kind != last:
-            kinds.append(kind)
+            if not kinds or kinds[-1] != int(kind > 0):
+                kinds.append(int(kind > 0))
+            layouts.append(kind)
+            regions.append(len(kinds) - 1)
             last = kind
-        blocks.append(len(kinds) - 1)
-    return blocks, kinds
+        blocks.append(len(layouts) - 1)
+    return Tree(*(np.array(x, dtype=np.int64) for x in (blocks, layouts, regions, kinds)))
 
 
 def logistic(rows: list[list[int]], labels: np.ndarray, size: int) -> np.ndarray:
-    """Weights of a regularised logistic regression by adaptive steps over batches."""
+    """Weights of a regularised logistic regression by adaptive steps."""
     w, squares = np.zeros(size), np.full(size, 1e-3)
     rng = np.random.RandomState(3)
+    lengths = np.array([len(r) for r in rows])
+    starts, flat = np.concatenate([[0], np.cumsum(lengths)]), np.array([i for r in rows for i in r], dtype=np.int64)
+    usable = np.flatnonzero(lengths > 0)
     for _ in range(ROUNDS):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), 64):
-            part = [i for i in order[lo : lo + 64] if rows[i]]
-            if not part:
-                continue
-            flat = np.concatenate([rows[i] for i in part])
-            starts = np.cumsum([0, *(len(rows[i]) for i in part)])[:-1]
-            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat], starts), -30, 30)))
-            grad = np.repeat(p - labels[part], [len(rows[i]) for i in part])
-            g = np.bincount(flat, weights=grad, minlength=size) + 1e-4 * w
+        order = rng.permutation(usable)
+        for lo in range(0, len(order), STEP):
+            part = order[lo : lo + STEP]
+            n = lengths[part]
+            at = np.repeat(starts[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            own = flat[at]
+            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[own], np.concatenate([[0], np.cumsum(n)[:-1]])), -30, 30)))
+            g = np.bincount(own, weights=np.repeat(p - labels[part], n), minlength=size) + 1e-4 * w
             squares += g * g
             w -= 0.5 * g / np.sqrt(squares)
     return w
 
 
+def from_table_pages(split: list[list[str]]) -> list[np.ndarray]:
+    """Per page which of its lines the labelling knows to be furniture: on a page that is a table, what is no part of it."""
+    out = []
+    for lines in split:
+        table = np.array([layout(x) == 0 for x in lines if x.strip()], dtype=bool)
+        known = len(table) and table.mean() >= TABLE_SHARE
+        out.append(np.array([bool(known and x.strip() and layout(x) != 0) for x in lines], dtype=bool))
+    return out
+
+
 def fit(pages: list[str]) -> Model:
-    """Model from pages, labelled by the example lines; the examples themselves are one more page each."""
-    pages = [*pages, *(x.replace("#", "12").replace(" M ", " May ") for x in EXAMPLES.strip().split("\n")), *MENU.split("|")]
-    split = [[x for x in p.split("\n")] for p in pages]
+    """Model from pages, of which those that are a table are labelled."""
+    split = [p.split("\n") for p in pages]
     counts: Counter[str] = Counter()
     for lines in split:
         for x in lines:
@@ -244,54 +178,82 @@ def fit(pages: list[str]) -> Model:
                 counts.update(features(x))
     known = sorted(f for f, n in counts.items() if n >= LEAST_LINES or not f.startswith(("w=", "first=", "last=", "is=")))
     names = {f: n for n, f in enumerate([*dict.fromkeys([*known, *(f"{k}={v}" for k in ("w", "first", "last") for v in ("NAME", "other", "0"))])])}
-    rows, labels = [], []
-    line, block, page = np.full((2, 2), SMOOTH), np.full((2, len(LAYOUTS), 2), SMOOTH), np.full(2, SMOOTH)
+    sure = from_table_pages(split)
+    rows = [numbers(x, names) for lines in split for x in lines if x.strip()]
+    told = np.array([t for lines, own in zip(split, sure) for x, t in zip(lines, own) if x.strip()], dtype=bool)
+    table = np.array([layout(x) == 0 for lines in split for x in lines if x.strip()], dtype=bool)
+    flat, lengths = np.array([i for r in rows for i in r], dtype=np.int64), np.array([len(r) for r in rows], dtype=np.int64)
+    weights, furniture, clear = np.zeros(len(names)), told.copy(), np.ones(len(told), dtype=bool)
+    for n in range(FITS if told.any() else 0):
+        weights = logistic([r for r, c in zip(rows, clear) if c], (~furniture[clear]).astype(float), len(names))
+        p = 1 / (1 + np.exp(np.clip(np.bincount(np.repeat(np.arange(len(rows)), lengths), weights=weights[flat], minlength=len(rows)), -30, 30)))
+        # at first only lines of labelled pages count as furniture, so furniture elsewhere scores about the share of them that is labelled
+        low, high = (x * p[told].mean() for x in DOUBT) if n == 0 else (DOUBT[0], 0.5)
+        furniture = ((p >= high) | told) & ~table
+        clear = furniture | (p < low) | table
+    if not told.any():
+        weights[:] = 0
+    line, block, region, page = np.full((2, 2), SMOOTH), np.full((2, len(LAYOUTS), 2), SMOOTH), np.full((2, 2, 2), SMOOTH), np.full(2, SMOOTH)
+    at = 0
     for lines in split:
-        blocks, kinds = tree(lines)
-        said = [0 if labelled_furniture(x) else 1 for x in lines]
-        of_block = [[s for s, b in zip(said, blocks) if b == n] for n in range(len(kinds))]
-        top = int(all(s for s, b in zip(said, blocks) if b >= 0))
+        t, n = tree(lines), sum(1 for x in lines if x.strip())
+        said = 1 - furniture[at : at + n].astype(int)
+        at += n
+        if not n:
+            continue
+        own = t.blocks[t.blocks >= 0]
+        most = lambda ids, labels, size: (np.bincount(ids, weights=labels, minlength=size) * 2 >= np.bincount(ids, minlength=size)).astype(int)
+        of_block = most(own, said, len(t.layouts))
+        of_region = most(t.regions[own], said, len(t.kinds))
+        top = int(said.all())
         page[top] += 1
-        for n, own in enumerate(of_block):
-            label = int(sum(own) * 2 >= len(own))
-            block[top, kinds[n], label] += 1
-            for s in own:
-                line[label, s] += 1
-        for x, s, b in zip(lines, said, blocks):
-            if b >= 0:
-                rows.append(numbers(x, names))
-                labels.append(s)
-    y = np.array(labels, dtype=float)
-    weights = logistic(rows, y, len(names))
-    share = np.log(line / line.sum(axis=1, keepdims=True)) - np.log(np.array([1 - y.mean(), y.mean()]).clip(1e-6))
-    return Model(names, weights, TEMPER * share, np.log(block / block.sum(axis=2, keepdims=True)), np.log(page / page.sum()))
+        np.add.at(region, (top, t.kinds, of_region), 1)
+        np.add.at(block, (of_region[t.regions], t.layouts, of_block), 1)
+        np.add.at(line, (of_block[own], said), 1)
+    share = np.array([furniture.mean() if len(furniture) else 0.5, 1 - furniture.mean() if len(furniture) else 0.5]).clip(1e-6)
+    normal = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+    if not told.any():  # nothing is known to be furniture
+        weights[[names[f] for f in names if f.startswith("layout=")]] = 30
+    return Model(names, weights, TEMPER * (normal(line) - np.log(share)), normal(block), normal(region), normal(page))
 
 
 def marginals(lines: list[str], model: Model, score) -> list[float]:
     """Probability of every line to belong to the body; nan for an empty line.
 
-    score gives a line's log odds. Messages go up from lines to blocks to the page and down again.
+    score gives a line's log odds. Messages go up from lines to blocks, regions and the page, and down again.
     """
-    blocks, kinds = tree(lines)
-    if not kinds:
+    t = tree(lines)
+    if not len(t.layouts):
         return [float("nan")] * len(lines)
-    own = np.array([(0.0, score(x)) if b >= 0 else (0.0, 0.0) for x, b in zip(lines, blocks)])
-    at = np.array(blocks)
-    real = at >= 0
-    # up: what a line tells its block, what a block tells the page
-    told = np.logaddexp(model.line[:, 0] + own[:, :1], model.line[:, 1] + own[:, 1:])  # line, block label
-    to_block = np.zeros((len(kinds), 2))
-    np.add.at(to_block, at[real], told[real])
-    ties = model.block[:, kinds, :]  # page label, block, block label
-    to_page = np.logaddexp(ties[:, :, 0] + to_block[:, 0], ties[:, :, 1] + to_block[:, 1])  # page label, block
-    belief = model.page + to_page.sum(axis=1)
-    # down: page without the block, block without the line
-    rest = belief[:, None] - to_page
-    down = np.logaddexp(ties[0] + rest[0][:, None], ties[1] + rest[1][:, None])  # block, block label
-    without = down[at] + to_block[at] - told
-    both = np.stack([np.logaddexp(without[:, 0] + model.line[0, k], without[:, 1] + model.line[1, k]) for k in (0, 1)], axis=1) + own
-    odds = np.clip(both[:, 1] - both[:, 0], -50, 50)
-    return [float(1 / (1 + np.exp(-o))) if r else float("nan") for o, r in zip(odds, real)]
+    real = t.blocks >= 0
+    at = t.blocks[real]
+    own = np.array([(0.0, score(x)) for x, b in zip(lines, t.blocks) if b >= 0])
+
+    def up(child: np.ndarray, tie: np.ndarray, parent: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """What every child tells its parent, by the parent's label, and the sum at each parent; tie is child, parent label, child label."""
+        told = np.logaddexp(tie[:, :, 0] + child[:, :1], tie[:, :, 1] + child[:, 1:])
+        total = np.zeros((size, 2))
+        np.add.at(total, parent, told)
+        return told, total
+
+    line_tie = np.broadcast_to(model.line, (len(at), 2, 2))
+    block_tie = model.block[:, t.layouts, :].transpose(1, 0, 2)
+    region_tie = model.region[:, t.kinds, :].transpose(1, 0, 2)
+    line_told, blocks = up(own, line_tie, at, len(t.layouts))
+    block_told, regions = up(blocks, block_tie, t.regions, len(t.kinds))
+    region_told, top = up(regions, region_tie, np.zeros(len(t.kinds), dtype=np.int64), 1)
+
+    def down(belief: np.ndarray, told: np.ndarray, tie: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """What the rest of the tree tells each child, by the child's label."""
+        rest = belief[parent] - told
+        return np.logaddexp(tie[:, 0, :] + rest[:, :1], tie[:, 1, :] + rest[:, 1:])
+
+    to_regions = down(model.page + top, region_told, region_tie, np.zeros(len(t.kinds), dtype=np.int64))
+    to_blocks = down(to_regions + regions, block_told, block_tie, t.regions)
+    both = own + down(to_blocks + blocks, line_told, line_tie, at)
+    out = np.full(len(lines), np.nan)
+    out[real] = 1 / (1 + np.exp(-np.clip(both[:, 1] - both[:, 0], -50, 50)))
+    return out.tolist()
 
 
 def lines(pages: DataFrame, key: str = "chunk_id", text: str = "raw_text") -> DataFrame:
@@ -301,9 +263,10 @@ def lines(pages: DataFrame, key: str = "chunk_id", text: str = "raw_text") -> Da
     is bounded, to PAGES pages. Rows with a null key keep it.
     """
     n = max(1, pages.count())
+    h = F.pmod(F.xxhash64(F.lit(5), F.col(key).cast("string")), F.lit(1 << 40))
     share = int(min(1.0, 1.5 * PAGES / n) * (1 << 40))
-    drawn = pages.filter(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.lit(5), key), F.lit(1 << 40)) < share)).select(F.substring(text, 1, PAGE_CHARS).alias("t")).limit(PAGES)
-    model = fit([r["t"] for r in drawn.collect()])
+    drawn = pages.select(F.col(text).alias("t"), h.alias("h")).filter(F.col("t").isNotNull() & (F.col("h") < share)).orderBy("h", "t").limit(PAGES).collect()
+    model = fit([r["t"] for r in drawn])
     shared = pages.sparkSession.sparkContext.broadcast(model)  # as many weights as features of the sample
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -75,40 +75,68 @@ def test_cuts_do_not_depend_on_where_ranges_fall(spark, tmp_path):
 # 2 page furniture
 
 
+def _pages(n, seed=0):
+    """Pages of prose and pages that are a table, with furniture between their lines; and which lines are furniture."""
+    r = random.Random(seed)
+    around = ["Home", "Newsroom", "Page {} of 90", "This site uses cookies to measure visits. Reject | Accept.", "Accept all", "Investors > Filings > {}", "Copyright {} Velno Inc. All rights reserved."]
+    prose = ["We cut orders for barge slots at the Velno plant after costs rose by {}% in May 2020.", "We hold {} patents for cold rooms, of which {} expire before 2020.", "Legal Proceedings", "None.", "The lease covers {} square metres."]
+    out = []
+    for k in range(n):
+        own = [f"| Assets {i} | {r.randrange(999)} |" for i in range(6)] if k % 3 == 0 else ["Item 1. Business"] + [r.choice(prose).format(r.randrange(99), r.randrange(99)) for _ in range(6)]
+        marked = [(x, False) for x in own]
+        for _ in range(r.randrange(4)):
+            marked.insert(r.randrange(len(marked) + 1), (r.choice(around).format(r.randrange(99)), True))
+        out.append(marked)
+    return out
+
+
 def test_body_and_furniture(spark):
-    page = "Home\nNewsroom\nItem 1. Business\n\nWe cut orders for barge slots at the Velno plant after costs rose by 5% in May 2020.\n| Assets | 1 |\nPage 3 of 9\r\nThis site uses cookies to measure visits. Reject | Accept."
-    df = spark.createDataFrame([("a", page), ("b", ""), ("c", None), ("d", "\n \n"), ("a", page)], "id string, t string").withColumns({"k": F.lit(1), "line": F.lit(2), "kept": F.lit(3)})
-    many = df.unionByName(spark.range(40).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("id"), F.lit(page).alias("t")), allowMissingColumns=True)
-    bad = {(r["id"], r["line_no"]) for r in boilerplate.furniture(many, "id", "t").collect() if r["id"] == "a"}
-    assert bad == {("a", n) for n in (0, 1, 6, 7)}
+    pages = _pages(400)
+    rows = [(f"x{n:03}", "\n".join(x for x, _ in p)) for n, p in enumerate(pages)]
+    odd = [("b", ""), ("c", None), ("d", "\n \n"), ("e", "Home\n\nLegal Proceedings\nPage 3 of 9\r"), ("e", "Home\n\nLegal Proceedings\nPage 3 of 9\r")]
+    df = spark.createDataFrame(rows + odd, "id string, t string").withColumns({"k": F.lit(1), "line": F.lit(2), "kept": F.lit(3)})
+    bad = {(r["id"], r["line_no"]) for r in boilerplate.furniture(df, "id", "t").collect()}
+    want = {(f"x{n:03}", i) for n, p in enumerate(pages) for i, (_, f) in enumerate(p) if f}
+    assert bad == want | {("e", 0), ("e", 3)}
+    assert bad == {(r["id"], r["line_no"]) for r in boilerplate.furniture(df.repartition(7), "id", "t").collect()}
     assert boilerplate.furniture(df.limit(0), "id", "t").count() == 0
-    body = {r["id"]: r["body"] for r in boilerplate.body(many.filter("id <> 'a'"), "id", "t").collect()}
-    assert body["x1"].startswith("Item 1. Business\nWe cut") and "b" not in body and "d" not in body
+    body = {r["id"]: r["body"] for r in boilerplate.body(df.filter("id <> 'e'"), "id", "t").collect()}
+    assert all(body[f"x{n:03}"] == "\n".join(x for x, f in p if not f) for n, p in enumerate(pages)) and "b" not in body and "d" not in body
+
+
+def test_without_labelled_pages_all_is_body(spark):
+    df = spark.createDataFrame([("a", "Home\nItem 1. Business\nWe cut orders.")], "id string, t string")
+    assert boilerplate.furniture(df, "id", "t").count() == 0 and boilerplate.lines(df, "id", "t").count() == 3
 
 
 def test_messages_equal_enumeration():
-    m = boilerplate.Model({}, np.zeros(1), np.log([[0.7, 0.3], [0.1, 0.9]]), np.log(np.random.RandomState(0).dirichlet([1, 1], (2, 4))), np.log([0.3, 0.7]))
+    dirichlet = lambda *shape: np.log(np.random.RandomState(0).dirichlet([1, 1], shape))
+    m = boilerplate.Model({}, np.zeros(1), np.log([[0.7, 0.3], [0.1, 0.9]]), dirichlet(2, 4), dirichlet(2, 2), np.log([0.3, 0.7]))
     lines = ["short", "| x | y |", "a long enough line that ends here.", "b"]
     odds = {x: s for x, s in zip(lines, (-1.0, 0.5, 2.0, -0.2))}
-    blocks, kinds = boilerplate.tree(lines)
+    t = boilerplate.tree(lines)
+    bits = lambda z, n: [z >> i & 1 for i in range(n)]
     total = np.zeros((len(lines), 2))
     for page in (0, 1):
-        for b in range(2 ** len(kinds)):
-            for z in range(2 ** len(lines)):
-                bl, zl = [b >> i & 1 for i in range(len(kinds))], [z >> i & 1 for i in range(len(lines))]
-                p = math.exp(m.page[page] + sum(m.block[page, k, x] for k, x in zip(kinds, bl)) + sum(m.line[bl[at], x] + x * odds[s] for at, x, s in zip(blocks, zl, lines)))
-                for i, x in enumerate(zl):
-                    total[i, x] += p
+        for r in range(2 ** len(t.kinds)):
+            rl = bits(r, len(t.kinds))
+            for b in range(2 ** len(t.layouts)):
+                bl = bits(b, len(t.layouts))
+                over = m.page[page] + sum(m.region[page, k, x] for k, x in zip(t.kinds, rl)) + sum(m.block[rl[at], k, x] for at, k, x in zip(t.regions, t.layouts, bl))
+                for z in range(2 ** len(lines)):
+                    zl = bits(z, len(lines))
+                    p = math.exp(over + sum(m.line[bl[at], x] + x * odds[s] for at, x, s in zip(t.blocks, zl, lines)))
+                    for i, x in enumerate(zl):
+                        total[i, x] += p
     assert np.allclose(boilerplate.marginals(lines, m, odds.get), total[:, 1] / total.sum(axis=1))
 
 
-def test_classifier_on_held_out_pages():
-    body = [f"We hold {n} patents for cold rooms, of which {n + 3} expire before 2020." for n in range(40)]
-    pages = ["\n".join([f"Page {n} of 90", "Legal Proceedings", body[n], "Accept all"]) for n in range(40)]
-    m = boilerplate.fit(pages[:30])
+def test_furniture_of_held_out_pages():
+    pages = _pages(500, 3)
+    m = boilerplate.fit(["\n".join(x for x, _ in p) for p in pages[:300]])
     score = lambda x: float(m.weights[boilerplate.numbers(x, m.words)].sum())
-    for p in pages[30:]:
-        assert [q < 0.5 for q in boilerplate.marginals(p.split("\n"), m, score)] == [True, False, False, True]
+    for p in pages[300:]:
+        assert [q < 0.5 for q in boilerplate.marginals([x for x, _ in p], m, score)] == [f for _, f in p]
 
 
 # 3 sampling
