@@ -89,3 +89,104 @@ def printed_interval(printed: Column, power: Column) -> Column:
     half = power_of_ten(power - places) / 2
     mid = apply_scale(value, power)
     return F.when(significant >= 2, F.struct((mid - half).cast(MONEY).alias("lo"), (mid + half).cast(MONEY).alias("hi")))
+
+
+#: What is blanked before figures are read, in this order: dates, ISO dates, days with a year, quarters, fiscal years, forms,
+#: numbered parts, spans of time and bare years.
+_MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+MASKS = (
+    rf"(?i)\b{_MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b",
+    r"\b\d{4}-\d{2}-\d{2}\b",
+    r"\b\d{1,2},\s+(?:19|20)\d{2}\b",
+    r"(?i)\bQ[1-4]\b",
+    r"(?i)\b(?:FY|fiscal(?:\s+year)?)\s*'?\d{2,4}\b",
+    r"(?i)\b(?:Form\s+)?(?:10-K|10-Q|8-K|20-F|S-1)(?:/A)?\b",
+    r"(?i)\b(?:Item|Note|Part|Section|Exhibit)\s+[IVX\d]+[A-C]?(?:\.\d+)?\b",
+    r"(?i)\b\d+[\s-](?:weeks?|months?|days?|quarters?|years?)\b",
+    r"(?i)(?<![$\d,.])\b(?:19|20)\d{2}\b(?![\d,.%]|\s*(?:thousand|million|billion|trillion))",
+)
+#: Fixed value: a figure in masked text: minus, bracket, currency, number, bracket, percent sign, scale word.
+MASKED_FIGURE = r"(?i)(?:[-−]\s*)?\(?\s*\$?\s*(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*\)?\s*%?(?:\s*(?:thousand|million|billion|trillion)s?\b)?"
+_NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
+
+
+def masked(text: Column) -> Column:
+    """Text with dates, periods, forms, numbered parts and years blanked, so that their numbers are no figures.
+
+    A match becomes one space: it begins and ends at the edge of a word, and where a pattern or a figure
+    allows white space it allows any amount of it, so the length of the blank does not matter.
+    """
+    for pattern in MASKS:
+        text = F.regexp_replace(text, pattern, " ")
+    return text
+
+
+def masked_figures(text: Column) -> Column:
+    """Array of the figures of a masked text: as printed, number without sign and scale, percent, power of its scale word (null without) and negative."""
+
+    def one(printed: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(printed, _NUMBER, 0), ",", "").try_cast(MONEY)
+        power = F.when(F.lower(printed).rlike("(thousand|million|billion|trillion)s?$"), scale_of(printed))
+        negative = printed.rlike(r"^\s*[-−]") | (printed.contains("(") & printed.contains(")"))
+        return F.struct(F.trim(printed).alias("printed"), number.alias("number"), printed.contains("%").alias("percent"), power.alias("power"), negative.alias("negative"))
+
+    return F.filter(F.transform(F.regexp_extract_all(masked(text), F.lit(MASKED_FIGURE), 0), one), lambda x: x["number"].isNotNull())
+
+
+def object_interval(value: Column, power: Column) -> Column:
+    """lo and hi of the values that a figure object's number stands for at its own digits; null below two significant digits."""
+    plain = F.regexp_replace(F.regexp_replace(F.abs(value).cast(MONEY).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    places = F.length(F.regexp_extract(plain, r"\.(\d+)$", 1))
+    trailing = F.when(places == 0, F.length(F.regexp_extract(plain, r"(0*)$", 1))).otherwise(F.lit(0))
+    digits = F.length(F.regexp_replace(F.regexp_replace(F.when(places == 0, F.regexp_replace(plain, "0+$", "")).otherwise(plain), r"\.", ""), "^0+", ""))
+    half = apply_scale(F.lit(0.5).cast(MONEY), power + trailing - places)
+    mid = apply_scale(F.abs(value), power)
+    return F.when(digits >= 2, F.struct((mid - half).cast(MONEY).alias("lo"), (mid + half).cast(MONEY).alias("hi")))
+
+
+def is_nil(text: Column) -> Column:
+    """Whether a cell is a lone dash of any length."""
+    return F.coalesce(F.trim(text).rlike("^[-–—]$"), F.lit(False))
+
+
+def tag_scale(scales: Column, monetary: Column) -> Column:
+    """The one magnitude of 3, 6 and 9 that the tagged figures of a table have, null for none or several; any monetary figure of another scale vetoes it.
+
+    scales and monetary are arrays of one entry per figure.
+    """
+    known = F.array_distinct(F.filter(scales, lambda s: s.isin(3, 6, 9)))
+    veto = F.exists(F.arrays_zip(scales.alias("s"), monetary.alias("m")), lambda x: x["m"] & (x["s"] != known[0]))
+    return F.when((F.size(known) == 1) & ~veto, known[0])
+
+
+def caption_phrase_scale(caption: Column) -> Column:
+    """Power of the last phrase of a caption that states a scale, in brackets or after "in", before any exception; null if it names two."""
+    low = F.lower(caption)
+    phrase = F.element_at(F.regexp_extract_all(low, F.lit(r"\([^()]*\b(?:thousand|million|billion)s?\b[^()]*\)|\bin\s+(?:thousand|million|billion)s?\b"), 0), -1)
+    return F.when(F.size(F.regexp_extract_all(low, F.lit(r"\b(?:thousand|million|billion)s?\b"), 0)) > 0, caption_scale(F.when(phrase.isNotNull(), phrase)))
+
+
+def seed_figures(text: Column) -> Column:
+    """Figures of a quote without masks and scale words: printed, value with its sign, percent."""
+
+    def one(printed: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(printed, _NUMBER, 0), ",", "").try_cast(MONEY)
+        negative = printed.rlike(r"^\s*\$?\s*\(") & printed.contains(")") | printed.rlike(r"^[-−]")
+        return F.struct(F.trim(printed).alias("printed"), F.when(negative, -number).otherwise(number).alias("value"), printed.contains("%").alias("percent"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"[-−]?\$?\s?\(?\$?(?:{_NUMBER})\)?\s?%?"), 0), one)
+
+
+def printed_values(text: Column) -> Column:
+    """Distinct magnitudes that a text prints, each at its own scale word."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(masked_figures(text), lambda x: ~x["percent"]), lambda x: F.when(x["power"].isNull(), x["number"]).otherwise(apply_scale(x["number"], x["power"])))))
+
+
+def number_tokens(text: Column) -> Column:
+    """Distinct number tokens as printed, trailing commas aside."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\d[\d,]*(?:\.\d+)?"), 0), lambda x: F.regexp_replace(x, ",+$", ""))))
+
+
+def decimals(printed: Column) -> Column:
+    """Places that a figure is printed with."""
+    return F.length(F.regexp_extract(printed, r"\d+(?:,\d{3})*\.(\d+)", 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: a date such as May 5, 2020 or 2020-05-05.
@@ -22,18 +22,60 @@ def dates_in(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(DATE), 0), one), lambda d: d.isNotNull())
 
 
-def period_kind(start: Column, end: Column) -> Column:
-    """instant, annual, quarter, ytd or other, by the days from start to end, both counted."""
+#: Days of three, six and nine months, both ends counted, and of a year.
+MONTH_DAYS = ((85, 98), (175, 189), (262, 280))
+YEAR_DAYS = (357, 371)
+
+
+def period_kind(start: Column, end: Column, form: Column | None = None, quarter: Column | None = None) -> Column:
+    """instant, annual, quarter, ytd or other, by the days from start to end, both counted.
+
+    A year is one in an annual filing only, other spans are ones of months or whole weeks in a quarterly
+    filing; up to 120 days they are a quarter, else ytd where their days are 80 to 95 for each quarter
+    so far. Without a form or quarter any fits.
+    """
     days = F.datediff(end, start) + 1
+    months = F.lit(False)
+    for low, high in MONTH_DAYS:
+        months = months | days.between(low, high)
+    regular = months | (days % 7 == 0)
+    annual = F.lit(True) if form is None else F.upper(form).startswith("10-K")
+    quarterly = F.lit(True) if form is None else F.upper(form).startswith("10-Q")
+    if quarter is None:
+        to_date = days.between(80 * 2, 95 * 2) | days.between(80 * 3, 95 * 3)
+    else:
+        to_date = quarter.isin(2, 3) & days.between(80 * quarter, 95 * quarter)
     return (
         F.when(start.isNull(), "instant")
-        .when(days.between(357, 371), "annual")
-        .when(days.between(80, 98), "quarter")
-        .when(days.between(160, 190) | days.between(240, 285), "ytd")
+        .when(F.coalesce(annual, F.lit(False)) & days.between(*YEAR_DAYS), "annual")
+        .when(F.coalesce(quarterly, F.lit(False)) & regular & (days > 0) & (days <= 120), "quarter")
+        .when(F.coalesce(quarterly & regular & to_date, F.lit(False)), "ytd")
         .otherwise("other")
     )
 
 
+#: Fixed value: a fiscal label: a quarter as Q1 or in words, or FY, and a year.
+LABEL = r"(?i)^\s*(?:Q([1-4])\s*|(first|second|third|fourth)\s+quarter\s+(?:of\s+)?)?(?:FY|fiscal(?:\s+year)?)?\s*'?(\d{4})\s*$"
+
+
+def label_parts(text: Column) -> Column:
+    """Year and quarter of a fiscal label, quarter null for a year; Q4 is the year. Null for any other text."""
+    word = F.lower(F.regexp_extract(text, LABEL, 2))
+    number = F.coalesce(F.regexp_extract(text, LABEL, 1).try_cast("int"), F.nullif(F.array_position(F.array(*[F.lit(w) for w in ("first", "second", "third", "fourth")]), word).cast("int"), F.lit(0)))
+    year = F.regexp_extract(text, LABEL, 3).try_cast("int")
+    return F.when(year.isNotNull(), F.struct(year.alias("fiscal_year"), F.when(number < 4, number).alias("fiscal_quarter")))
+
+
+def period_ends(stated: DataFrame, filings: DataFrame) -> DataFrame:
+    """The rows of stated (a period text and cik among others) with each period_end they mean: its dates, else the end of the company's own filing of the label."""
+    dated = stated.withColumn("_dates", F.array_distinct(dates_in(F.col("period"))))
+    by_date = dated.filter(F.size("_dates") > 0).select(*stated.columns, F.explode("_dates").alias("period_end"))
+    labelled = dated.filter(F.size("_dates") <= 0).withColumn("_l", label_parts(F.col("period"))).filter("_l is not null")
+    own = filings.select(F.col("cik").alias("_cik"), "period_end", F.col("fiscal_year").alias("_y"), F.col("fiscal_quarter").alias("_q")).distinct()
+    by_label = labelled.join(own, (F.col("cik") == F.col("_cik")) & (F.col("_l.fiscal_year") == F.col("_y")) & F.col("_l.fiscal_quarter").eqNullSafe(F.col("_q"))).select(*stated.columns, "period_end")
+    return by_date.unionByName(by_label).filter("period_end is not null").distinct()
+
+
 def fiscal_quarter(label: Column) -> Column:
     """Quarter of a label such as Q3, null for a year."""
     return F.regexp_extract(F.upper(F.trim(label)), r"^Q([1-4])$", 1).try_cast("int")

@@ -5,49 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.numbers import apply_scale, caption_scale, figures, within
-
-
-def text_numbers(texts: DataFrame, key: str, text: str, caption: Column | None = None) -> DataFrame:
-    """Distinct figures of every text: key, magnitude, percent and how its scale is known.
-
-    A figure with a scale word is scaled by it, another by the caption where that names one scale, else it
-    is unscaled. Percentages are never scaled.
-    """
-    rows = texts.select(F.col(key).alias("key"), F.explode(figures(F.col(text))).alias("f"), (caption_scale(caption) if caption is not None else F.lit(None).cast("int")).alias("power"))
-    worded = F.lower("f.printed").rlike("(thousand|million|billion|trillion)")
-    scaled = F.when(F.col("f.percent") | worded | F.col("power").isNull(), F.col("f.value")).otherwise(apply_scale(F.col("f.value"), F.col("power")))
-    known = F.when(F.col("f.percent"), "percent").when(worded, "word").when(F.col("power").isNotNull(), "caption").otherwise("none")
-    return rows.select("key", F.abs(scaled).alias("magnitude"), F.col("f.percent").alias("percent"), known.alias("scale")).filter("magnitude is not null").distinct()
-
-
-def grounded(claims: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Claim numbers with how the cited texts hold them: printed, printed_unscaled, derived or none.
-
-    claims has answer_id, claim_id, key (the cited text), magnitude and percent; numbers is text_numbers.
-    Printed means the same magnitude and kind; unscaled, that a number without a known scale agrees at
-    thousands, millions, billions or trillions; derived, that the number is the difference of two printed
-    numbers of the whole answer.
-    """
-    n = numbers.select("key", F.col("magnitude").alias("m"), F.col("percent").alias("pct"), "scale")
-    loose = n.filter("scale = 'none'").select("key", F.explode(F.transform(F.array(*[F.lit(p) for p in (3, 6, 9, 12)]), lambda p: apply_scale(F.col("m"), p))).alias("m"))
-    marks = n.select("key", "m", F.col("pct"), F.lit(2).alias("how")).unionByName(loose.select("key", "m", F.lit(False).alias("pct"), F.lit(1).alias("how"))).groupBy("key", "m", "pct").agg(F.max("how").alias("how"))
-    hit = claims.join(marks, (claims["key"] == marks["key"]) & (claims["magnitude"] == marks["m"]) & (claims["percent"] == marks["pct"]), "left")
-    ids = ["answer_id", "claim_id", "magnitude", "percent"]
-    best = hit.groupBy(*ids).agg(F.max("how").alias("how"))
-    pool = best.filter("how = 2 and not percent").select("answer_id", F.col("magnitude").alias("x")).distinct()
-    open_ = best.filter("how is null and not percent").select("answer_id", "claim_id", "magnitude")
-    # the second number follows from the first, so it is looked up instead of paired
-    second = open_.join(pool, "answer_id").select("answer_id", "claim_id", "magnitude", (F.col("x") - F.col("magnitude")).cast("decimal(38,6)").alias("x"))
-    derived = second.join(pool, ["answer_id", "x"], "left_semi").select("answer_id", "claim_id", "magnitude").distinct().withColumn("_derived", F.lit(True))
-    out = best.join(derived, ["answer_id", "claim_id", "magnitude"], "left")
-    return out.select(*ids, F.when(F.col("how") == 2, "printed").when(F.col("how") == 1, "printed_unscaled").when(F.col("_derived") & ~F.col("percent"), "derived").otherwise("none").alias("how"))
-
-
-def answer_grounding(found: DataFrame, claims: DataFrame) -> DataFrame:
-    """Per claim whether all its numbers are grounded; a claim without numbers is."""
-    by = found.groupBy("answer_id", "claim_id").agg(F.bool_and(F.col("how") != "none").alias("ok"), F.count("*").alias("numbers"))
-    return claims.select("answer_id", "claim_id").distinct().join(by, ["answer_id", "claim_id"], "left").select("answer_id", "claim_id", F.coalesce("ok", F.lit(True)).alias("numbers_grounded"), F.coalesce("numbers", F.lit(0)).alias("numbers"))
+from quarryline.functions.numbers import within
 
 
 def classified(claims: DataFrame, facts: DataFrame, percent: float = 0.5) -> DataFrame:

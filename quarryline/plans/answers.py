@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.functions.numbers import is_value
+from quarryline.functions.numbers import is_value, printed_interval
+from quarryline.functions import periods
 from quarryline.functions.text import tokens
-from quarryline.operators import chunking, datasets, documents, metrics, retrieval, scoring, verification
+from quarryline.operators import chunking, claims, datasets, documents, metrics, retrieval, scoring, verification
 from quarryline.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -108,6 +109,23 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense(e, "vec_id", "embedding", q).select("query_id", "doc", F.round("distance", 6).alias("distance"), "rank")
 
 
+_DENSE_C = f"""e AS (SELECT query_id, CAST(c.embedding AS DOUBLE[]) v FROM (SELECT query_id, flatten(gold_evidence_sets)[1] chunk_id FROM q) JOIN chunks c USING (chunk_id) WHERE list_sum(list_transform(c.embedding, lambda x: abs(x))) > 0),
+dd AS (SELECT query_id, chunk_id doc, round(1 - list_dot_product(v, CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(v, v) * list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 9) dist FROM e, chunks WHERE list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+dl AS (SELECT query_id, doc, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, doc) AS BIGINT) AS "rank" FROM dd QUALIFY "rank" <= 20)"""
+
+
+@query(f'''WITH {_Q}, {_bm25_sql("b", "text", k=20)}, {_DENSE_C}, l AS (SELECT query_id, "rank", doc FROM dl UNION ALL SELECT query_id, "rank", doc FROM b),
+f AS (SELECT query_id, doc, round(sum(1.0 / (60 + "rank")), 9) score, min("rank") place FROM l GROUP BY ALL)
+SELECT query_id, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, doc) AS BIGINT) AS "rank" FROM f QUALIFY "rank" <= 10''')
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Dense search by the vector of the first gold chunk fused with BM25 of the question."""
+    c = table(spark, d, "chunks")
+    first = questions(spark, d).select("query_id", F.try_element_at(F.flatten("gold_evidence_sets"), F.lit(1)).alias("chunk_id"))
+    vectors = first.join(c.select("chunk_id", F.col("embedding").alias("query_vector")), "chunk_id").select("query_id", "query_vector")
+    both = retrieval.hybrid(retrieval.dense(c, "chunk_id", "embedding", vectors, 20), _bm25(spark, d, k=20), 10)
+    return both.select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f'''SELECT vec_id, twin, cosine FROM (SELECT b.vec_id, a.vec_id twin, round(1 - {_COS}, 6) cosine, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS}, a.vec_id) n
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE 1 - {_COS} > 0.45) WHERE n = 1''')
 def earlier_twins(spark: SparkSession, d: str) -> DataFrame:
@@ -269,38 +287,79 @@ def seed_filters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", datasets.first_failure(checks).alias("reason"))
 
 
-@query("""WITH f AS (SELECT DISTINCT accession, cik, period_end FROM filings), c AS (SELECT span_id claim_id, accession, cik, concept, period_end, value FROM (SELECT DISTINCT span_id, accession, concept, value FROM xbrl_spans WHERE value IS NOT NULL) JOIN f USING (accession)),
-j AS (SELECT c.*, x.period_end = c.period_end t, x.accession = c.accession ci, abs(abs(c.value) - abs(x.value)) * 100 <= abs(x.value) * 0.5 cl, x.value xv FROM c LEFT JOIN (SELECT * FROM xbrl_facts WHERE value IS NOT NULL) x ON x.cik = c.cik AND x.concept = c.concept),
-g AS (SELECT claim_id, coalesce(bool_or(t AND ci AND cl), false) v, coalesce(bool_or(t AND ci), false) c, coalesce(bool_or(t AND NOT ci AND cl), false) r, coalesce(bool_or(NOT t AND ci AND cl), false) e, min(CASE WHEN t AND ci THEN xv END) fact_value FROM j GROUP BY 1)
-SELECT claim_id, s AS status, e AND s = 'contradiction' AS elsewhere, fact_value FROM (SELECT *, CASE WHEN v THEN 'verified' WHEN NOT c THEN 'no_fact' WHEN r THEN 'restatement' ELSE 'contradiction' END s FROM g)""")
+@query("""WITH f AS (SELECT DISTINCT accession, cik, period_end FROM filings), z AS (SELECT DISTINCT span_id, accession, concept, value, regexp_replace(raw_text, '[^0-9.]', '', 'g') dg, coalesce(scale, 0) sc FROM xbrl_spans WHERE value IS NOT NULL),
+y AS (SELECT *, length(regexp_extract(dg, '[.]([0-9]+)$', 1)) pl FROM z), w AS (SELECT *, length(regexp_replace(CASE WHEN pl > 0 THEN replace(dg, '.', '') ELSE regexp_replace(dg, '0+$', '') END, '^0+', '')) sg, TRY_CAST(dg AS DECIMAL(38,6)) dv FROM y),
+i AS (SELECT span_id, accession, concept, value, CASE WHEN sg >= 2 THEN CAST(dv * CAST(power(10, sc) AS DECIMAL(18,2)) - power(10, sc - pl) / 2 AS DOUBLE) END lo, CASE WHEN sg >= 2 THEN CAST(dv * CAST(power(10, sc) AS DECIMAL(18,2)) + power(10, sc - pl) / 2 AS DOUBLE) END hi FROM w),
+c AS (SELECT span_id claim_id, accession, cik, concept, period_end, value, lo, hi FROM i JOIN f USING (accession)),
+j AS (SELECT c.*, x.period_end = c.period_end t, x.accession = c.accession ci, abs(abs(c.value) - abs(x.value)) * 100 <= abs(x.value) * 0.5 cl, x.value xv, abs(x.value) >= c.lo AND abs(x.value) < c.hi ins FROM c LEFT JOIN (SELECT * FROM xbrl_facts WHERE value IS NOT NULL) x ON x.cik = c.cik AND x.concept = c.concept),
+g AS (SELECT claim_id, coalesce(bool_or(t AND ci AND cl), false) v, coalesce(bool_or(t AND ci), false) c, coalesce(bool_or(t AND NOT ci AND cl), false) r, coalesce(bool_or(t AND ci AND ins), false) ir, coalesce(bool_or(NOT t AND ci AND cl), false) e, min(CASE WHEN t AND ci THEN xv END) fact_value FROM j GROUP BY 1)
+SELECT claim_id, s AS status, e AND s = 'contradiction' AS elsewhere, fact_value FROM (SELECT *, CASE WHEN v THEN 'verified' WHEN NOT c THEN 'no_fact' WHEN r THEN 'restatement' WHEN ir THEN 'rounded' ELSE 'contradiction' END s FROM g)""")
 def claims_classified(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "filings").select("accession", "cik", "period_end").distinct()
-    none = F.lit(None).cast("decimal(38,6)")
-    s = table(spark, d, "xbrl_spans").filter("value is not null").select(F.col("span_id").alias("claim_id"), "accession", "concept", "value").distinct()
-    return verification.classified(s.join(f, "accession").withColumns({"lo": none, "hi": none}), table(spark, d, "xbrl_facts"))
+    s = table(spark, d, "xbrl_spans").filter("value is not null").select(F.col("span_id").alias("claim_id"), "accession", "concept", "value", "raw_text", "scale").distinct()
+    span = printed_interval(F.col("raw_text"), F.coalesce("scale", F.lit(0)))
+    rows = s.withColumns({"lo": span["lo"], "hi": span["hi"]}).drop("raw_text", "scale").distinct()
+    return verification.classified(rows.join(f, "accession"), table(spark, d, "xbrl_facts"))
 
 
-def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Numbers of reference answers by cited chunk, and the numbers of those chunks."""
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Reference answers as answers of one claim per sentence, citing the gold chunks, with the figure object of their fact."""
     i = table(spark, d, "eval_items").filter("reference_answer is not null")
-    cited = i.select(F.col("item_id").alias("answer_id"), "reference_answer", F.explode(F.array_distinct(F.flatten("gold_evidence_sets"))).alias("key"))
-    said = verification.text_numbers(cited.select("answer_id", "reference_answer").distinct(), "answer_id", "reference_answer").select(F.col("key").alias("answer_id"), "magnitude", "percent")
-    claims = cited.select("answer_id", "key").join(said, "answer_id").withColumn("claim_id", F.lit(1))
-    c = table(spark, d, "chunks").join(cited.select(F.col("key").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
-    return claims, verification.text_numbers(c, "chunk_id", "raw_text", F.split("raw_text", "\n")[0])
+    f = table(spark, d, "xbrl_facts").filter("value is not null").select(F.col("fact_id").alias("xbrl_fact_id"), F.struct(
+        F.col("value"), F.lit("ones").alias("unit"), F.when(F.upper(F.trim("unit")).startswith("USD"), "USD").alias("currency"),
+        F.concat_ws(" ", F.when(F.col("fiscal_period") != "FY", F.col("fiscal_period")), F.concat(F.lit("FY"), F.col("fiscal_year").cast("string"))).alias("period"), F.col("label").alias("concept")).alias("f"))
+    said = F.split("reference_answer", r"(?<=[.!?])\s+(?=[A-Z0-9])")
+    rows = i.join(f, "xbrl_fact_id", "left").select(F.col("item_id").alias("answer_id"), "question", F.array_distinct(F.flatten("gold_evidence_sets")).alias("citations"), "f", F.posexplode(said).alias("claim_id", "text"))
+    return rows.withColumn("figure", F.when(F.col("claim_id") == 0, F.col("f")).cast(claims.FIGURE)).drop("f")
+
+
+def _sets(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    cited = rows.select(F.explode("citations").alias("chunk_id")).distinct()
+    zero = table(spark, d, "xbrl_spans").filter("value = 0 and chunk_id is not null").select(F.col("chunk_id").alias("key"))
+    return claims.text_sets(table(spark, d, "chunks").join(cited, "chunk_id", "left_semi"), "chunk_id", "text", zero)
 
 
 @query()
 def answers_grounded(spark: SparkSession, d: str) -> DataFrame:
-    return verification.grounded(*_claims(spark, d))
+    rows = _answers(spark, d)
+    sets = _sets(spark, d, rows)
+    return claims.with_unit(claims.grounded(rows.drop("question"), sets), sets).select("answer_id", "claim_id", "numbers_grounded", "numbers_derived", "unit_ok", "period_stated", "citations_supporting", F.size("numbers").alias("numbers"))
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    rows = _answers(spark, d)
+    sets = _sets(spark, d, rows)
+    facts = table(spark, d, "xbrl_facts")
+    phrases = claims.concept_tags(facts.select(F.col("label").alias("phrase"), F.col("concept").alias("tag"), F.lit(None).cast("string").alias("variant")).distinct())
+    filings = table(spark, d, "filings").filter("cik is not null").select("accession", "cik", "period_end", "fiscal_year", "fiscal_quarter").distinct()
+    own = rows.select("answer_id", "claim_id", F.explode("citations").alias("key")).select("answer_id", "claim_id", F.substring_index("key", ":", 1).alias("accession")).distinct()
+    company = own.join(filings.select("accession", "cik").distinct(), "accession").select("answer_id", "claim_id", "cik").distinct()
+    stated = rows.filter("figure.period is not null").select("answer_id", "claim_id", F.col("figure.period").alias("period")).join(company, ["answer_id", "claim_id"])
+    ends = periods.period_ends(stated, filings)
+    checks = claims.fact_checks(rows, phrases, filings, facts, ends, 0.5)
+    given = rows.select("answer_id", F.explode("citations").alias("key")).distinct()
+    names = table(spark, d, "companies").select("cik", F.explode(F.array("name", "ticker")).alias("name"))
+    # stored entailment: the share of a claim's words that the text holds stands for a model's score
+    words = lambda c: F.array_distinct(tokens(F.col(c)))
+    scored = rows.select("answer_id", "claim_id", "text", F.explode("citations").alias("key")).join(table(spark, d, "chunks").select(F.col("chunk_id").alias("key"), F.col("text").alias("t")), "key")
+    entail = scored.select("answer_id", "claim_id", "key", F.coalesce(F.try_divide(F.size(F.array_intersect(words("text"), words("t"))), F.size(words("text"))), F.lit(0.0)).alias("entail"))
+    return claims.checked(rows.drop("question"), rows.select("answer_id", "question").distinct(), given, sets, checks, entail, filings, names)
+
+
+@query()
+def answers_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Every check of every claim, none of them a constant."""
+    return _checked(spark, d).select("answer_id", "claim_id", "citation_valid", "entity_ok", "numbers_grounded", "unit_ok", "period_stated", "status", "period_ok", "contradiction", "entail")
 
 
 @query()
 def answer_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    claims, numbers = _claims(spark, d)
-    ok = verification.answer_grounding(verification.grounded(claims, numbers), claims)
-    checks = {"citation_valid": F.lit(True), "entity_ok": F.lit(True), "has_figure": F.col("numbers") > 0, "unit_ok": F.lit("unknown"), "period_stated": F.lit(True), "contradiction": F.lit(False), "entail": F.lit(1.0)}
-    return verification.verdicts(ok.withColumns(checks), 0.5)
+    return verification.verdicts(_checked(spark, d), 0.5)
+
+
+@query()
+def claims_failed(spark: SparkSession, d: str) -> DataFrame:
+    return claims.failed_checks(_checked(spark, d), verification.supported(0.5))
 
 
 @query()

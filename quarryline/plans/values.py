@@ -69,7 +69,7 @@ def label_phrases(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("concept", "label").agg(F.count("*").alias("facts")).select("concept", "label", text.phrase_key(F.col("label")).alias("phrase"), "facts")
 
 
-@query("""SELECT doc_id, round(coalesce(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(length(text), 0), 0), 6) AS letters,
+@query("""SELECT doc_id, round(coalesce(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / nullif(length(text), 0), 0), 6) AS letters,
 left(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, '[')), chr(10)), 400) AS excerpt FROM documents""")
 def documents_excerpt(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents")
@@ -87,11 +87,13 @@ def documents_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(periods.dates_in(F.col("text")), lambda x: x.cast("string")), " ").alias("dates"))
 
 
-@query("""SELECT CASE WHEN period_start IS NULL THEN 'instant' WHEN n BETWEEN 357 AND 371 THEN 'annual' WHEN n BETWEEN 80 AND 98 THEN 'quarter' WHEN n BETWEEN 160 AND 190 OR n BETWEEN 240 AND 285 THEN 'ytd' ELSE 'other' END AS kind,
-TRY_CAST(nullif(regexp_extract(upper(trim(fiscal_period)), '^Q([1-4])$', 1), '') AS INT) AS quarter, count(*) AS facts FROM (SELECT *, period_end - period_start + 1 n FROM xbrl_facts) GROUP BY ALL""")
+@query("""WITH f AS (SELECT *, period_end - period_start + 1 n, TRY_CAST(nullif(regexp_extract(upper(trim(fiscal_period)), '^Q([1-4])$', 1), '') AS INT) q, upper(trim(form_type)) ft FROM xbrl_facts),
+k AS (SELECT *, (n BETWEEN 85 AND 98 OR n BETWEEN 175 AND 189 OR n BETWEEN 262 AND 280 OR n % 7 = 0) reg FROM f)
+SELECT CASE WHEN period_start IS NULL THEN 'instant' WHEN starts_with(ft, '10-K') AND n BETWEEN 357 AND 371 THEN 'annual' WHEN starts_with(ft, '10-Q') AND reg AND n > 0 AND n <= 120 THEN 'quarter'
+WHEN starts_with(ft, '10-Q') AND reg AND q IN (2, 3) AND n BETWEEN 80 * q AND 95 * q THEN 'ytd' ELSE 'other' END AS kind, q AS quarter, count(*) AS facts FROM k GROUP BY ALL""")
 def facts_by_period_kind(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "xbrl_facts")
-    return f.groupBy(periods.period_kind(F.col("period_start"), F.col("period_end")).alias("kind"), periods.fiscal_quarter(F.col("fiscal_period")).alias("quarter")).agg(F.count("*").alias("facts"))
+    f = table(spark, d, "xbrl_facts").withColumn("quarter", periods.fiscal_quarter(F.col("fiscal_period")))
+    return f.groupBy(periods.period_kind(F.col("period_start"), F.col("period_end"), F.trim("form_type"), F.col("quarter")).alias("kind"), "quarter").agg(F.count("*").alias("facts"))
 
 
 @query("""SELECT DISTINCT accession, CASE WHEN fiscal_quarter IS NOT NULL THEN 'Q' || fiscal_quarter || ' ' ELSE '' END || 'FY' || fiscal_year AS period, CAST(filing_date - INTERVAL 5 YEAR AS DATE) AS since, strftime(filing_date, '%B %-d, %Y') AS filed FROM filings""")
