@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -74,3 +75,124 @@ def table_parts(rows: DataFrame, target: int) -> DataFrame:
     numbered = one.withColumn("_parts", F.aggregate("_rows", start, step)["parts"])
     each = numbered.select("key", "table_no", F.col("grid")[0].alias("head"), F.explode(F.arrays_zip("_parts", "_rows")).alias("x"), "_parts")
     return each.groupBy("key", "table_no", "head", F.col("x._parts").alias("part_no")).agg(F.count("*").alias("rows"), F.array_join(F.collect_list(F.array_join("x._rows", " | ")), "\n").alias("body"))
+
+
+#: Fixed value: where sentences end: a stop before white space and a capital, digit, quote or bracket.
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])")
+DOCUMENT = (
+    "key string, section string, chunk_id string, chunk_type string, first_block int, last_block int, size int, text string, raw_text string, "
+    "paragraphs_split int, paragraph_pieces int, whitespace_splits int, tables_split int, layout_tables_split int, over_budget int"
+)
+
+
+def groups_of(parts: list[str], count: Callable[[str], int], budget: int) -> list[str]:
+    """Neighbouring parts joined by spaces as long as they fit the budget."""
+    out: list[str] = []
+    for p in parts:
+        if out and count(f"{out[-1]} {p}") <= budget:
+            out[-1] = f"{out[-1]} {p}"
+        else:
+            out.append(p)
+    return out
+
+
+def fitted(text: str, count: Callable[[str], int], budget: int) -> tuple[list[str], int]:
+    """Pieces of a paragraph within the budget, and how many of them had to be cut between words.
+
+    Sentences first, then clauses of a sentence that is too long, then words; a word over the budget stays
+    one piece. Pieces are as long as they can be.
+    """
+    if count(text) <= budget:
+        return [text], 0
+    parts, cut = [], 0
+    for sentence in _SENTENCE.split(text):
+        if count(sentence) <= budget:
+            parts.append(sentence)
+            continue
+        for clause in re.split(r"(?<=;)\s+", sentence):
+            if count(clause) <= budget:
+                parts.append(clause)
+            else:
+                by_word = groups_of(clause.split(), count, budget)
+                cut += len(by_word)
+                parts += by_word
+    return groups_of(parts, count, budget), cut
+
+
+def chunk_documents(units: DataFrame, target: int, overlap: int, size: Callable[[str], int] | None = None) -> DataFrame:
+    """Chunks of every section of every document: DOCUMENT.
+
+    units has key, section, block_no, kind (prose, table, layout), text, rows (lines of a table), header (the
+    line on top of each chunk of the section) and context (lines repeated on each part of a table). Prose is
+    fitted to the target and packed with whole pieces as overlap; a data table has chunks of its own, whose
+    parts repeat the context and tile the rows; a layout table over the target is cut by rows and packed as
+    prose. Furniture and navigation are left out before. Ids name the first and the last block with their
+    pieces, so they are unique. Counters are those of the section, on its first chunk; over_budget counts
+    chunks that one word or row makes larger than the target. A group is one section of a document.
+    """
+    count = size or (lambda t: len(t.split()))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block_no")
+        key, section = rows["key"].iloc[0], rows["section"].iloc[0]
+        header = rows["header"].iloc[0] or ""
+        room = max(1, target - count(header))
+        stats = dict.fromkeys(("paragraphs_split", "paragraph_pieces", "whitespace_splits", "tables_split", "layout_tables_split", "over_budget"), 0)
+        pieces: list[tuple[int, int, str]] = []
+        out: list[tuple] = []
+
+        def add(kind: str, first: tuple[int, int], last: tuple[int, int], body: str) -> None:
+            text = "\n".join(x for x in (header, body) if x)
+            n = count(text)
+            stats["over_budget"] += n > target
+            out.append((key, section, f"{key}:{first[0]}.{first[1]}:{last[0]}.{last[1]}", kind, first[0], last[0], n, text, body))
+
+        def flush() -> None:
+            if pieces:
+                for a, b in packed_units([count(p[2]) for p in pieces], room, overlap):
+                    own = pieces[a : b + 1]
+                    add("prose", own[0][:2], own[-1][:2], "\n".join(p[2] for p in own))
+                pieces.clear()
+
+        for no, kind, text, lines, context in zip(rows["block_no"], rows["kind"], rows["text"], rows["rows"], rows["context"]):
+            no, lines = int(no), list(lines) if lines is not None else []
+            if kind == "table":
+                flush()
+                top = [c for c in (list(context) if context is not None else [])]
+                space = max(1, room - sum(map(count, top)))
+                parts, used = [[]], 0
+                for line in lines:
+                    n = count(line)
+                    if parts[-1] and used + n > space:
+                        parts.append([])
+                        used = 0
+                    parts[-1].append(line)
+                    used += n
+                stats["tables_split"] += len(parts) > 1
+                for k, part in enumerate(parts):
+                    add("table", (no, k), (no, k), "\n".join([*top, *part]))
+                continue
+            if kind == "layout" and count(text or "") > room:
+                got, cut = [p for line in lines for p in fitted(line, count, room)[0]], 0
+                stats["layout_tables_split"] += 1
+            else:
+                got, cut = fitted(text or "", count, room)
+                if len(got) > 1:
+                    stats["paragraphs_split"] += 1
+                    stats["paragraph_pieces"] += len(got)
+            stats["whitespace_splits"] += cut
+            pieces += [(no, k, p) for k, p in enumerate(got) if p]
+        flush()
+        frame = pd.DataFrame(out, columns=["key", "section", "chunk_id", "chunk_type", "first_block", "last_block", "size", "text", "raw_text"])
+        for name, n in stats.items():
+            frame[name] = [n if i == 0 else 0 for i in range(len(frame))]
+        return frame
+
+    need = units.select(*[F.col(c).cast("string").alias(c) for c in ("key", "section")], F.col("block_no").cast("int").alias("block_no"), "kind", "text", "rows", "header", "context")
+    return need.groupBy("key", "section").applyInPandas(pack, DOCUMENT)
+
+
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """Counters of every document."""
+    names = ("paragraphs_split", "paragraph_pieces", "whitespace_splits", "tables_split", "layout_tables_split", "over_budget")
+    return chunks.groupBy("key").agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("chunks"))
