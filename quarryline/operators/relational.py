@@ -89,3 +89,86 @@ def conflicts(rows: DataFrame, keys: list[str], value: str, within: str) -> Data
     values = by_value.groupBy(*keys).agg(F.count(value).alias("values"), F.min(value).alias("lowest"), F.max(value).alias("highest")).filter("values > 1")
     sources = rows.select(*keys, within).distinct().groupBy(*keys).agg(F.count(within).alias("sources"))
     return values.join(sources, same(values, sources, keys)).select(*[values[k] for k in keys], "values", "sources", "lowest", "highest")
+
+
+def filled_from(rows: DataFrame, cache: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with a missing value taken from the cache by key (UPDATE ... FROM); cache has one row per key."""
+    c = cache.select(*keys, F.col(value).alias("_cached"))
+    return rows.join(c, keys, "left").withColumn(value, F.coalesce(value, "_cached")).drop("_cached")
+
+
+def cascaded(children: DataFrame, parents: DataFrame, key: str, on_delete: str = "cascade") -> DataFrame:
+    """children after their parents were deleted: those without a parent go (cascade) or lose the key (null); a null key stays."""
+    if on_delete == "cascade":
+        orphans = children.filter(F.col(key).isNotNull()).join(parents.select(key).distinct(), key, "left_anti")
+        return children.join(orphans.select(key).distinct(), key, "left_anti")
+    there = parents.select(key).distinct().withColumn("_there", F.lit(True))
+    return children.join(there, key, "left").withColumn(key, F.when(F.col("_there"), F.col(key))).drop("_there")
+
+
+def violations(rows: DataFrame, checks: dict[str, Column], unique: list[str] | None = None, parents: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """Constraint and number of rows that break it: checks by name (null breaks none), unique keys by which null equals null, and a foreign key."""
+    counts = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(True))).alias(n) for n, c in checks.items()]) if checks else None
+    out = None if counts is None else counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in checks]), F.array(*[F.col(f"`{n}`") for n in checks]))).alias("check", "rows"))
+    more = []
+    if unique:
+        more.append(rows.groupBy(*unique).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows")).select(F.lit("unique").alias("check"), "rows"))
+    if parents:
+        table, key = parents
+        more.append(rows.filter(F.col(key).isNotNull()).join(table.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("rows")).select(F.lit("foreign key").alias("check"), "rows"))
+    for m in more:
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def load_counts(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of what a load does: rows offered, inserted and already present."""
+    offered = new.agg(F.count("*").alias("offered"))
+    added = inserted(existing, new, keys).agg(F.count("*").alias("inserted"))
+    return offered.join(F.broadcast(added)).withColumn("present", F.col("offered") - F.col("inserted"))  # two rows of one
+
+
+def every_nth(rows: DataFrame, order: list[str], n: int, part: list[str]) -> DataFrame:
+    """Every n-th row of each part in an order, the first among them."""
+    w = Window.partitionBy(*part).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") - 1) % n == 0).drop("_n")
+
+
+def preferred(wanted: DataFrame, facts: DataFrame) -> DataFrame:
+    """cik, item and the tag to read: the named tag, or its variant only for a company with no fact under the named one; null if it has neither.
+
+    wanted has item, tag and variant; facts cik and concept.
+    """
+    have = facts.select("cik", F.col("concept").alias("tag")).distinct()
+    named = wanted.join(have, "tag").select("cik", "item", F.col("tag").alias("_named"))
+    other = wanted.filter("variant is not null").join(have.withColumnRenamed("tag", "variant"), "variant").select("cik", "item", F.col("variant").alias("_other"))
+    return named.join(other, ["cik", "item"], "full").select("cik", "item", F.coalesce("_named", "_other").alias("tag"))
+
+
+def interval_classes(inner: DataFrame, outer: DataFrame, part: str, inner_id: str, outer_id: str, width: int = 16_384) -> DataFrame:
+    """For each interval of inner its container and class: unique, overlap, split, before_first or unresolved.
+
+    unique has one container, overlap several (the first counts); split crosses the border of an interval;
+    before_first ends before the first one of its part. Intervals are dealt to stripes of offsets, so a
+    join within a part meets only what is near; outer intervals are listed in each stripe they touch.
+    """
+    i = inner.select(part, inner_id, F.col("char_start").alias("f"), F.col("char_end").alias("t")).distinct()
+    stripes = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(b, a) / width)))
+    o = outer.select(part, F.col(outer_id).alias("o_id"), F.col("char_start").alias("of"), F.col("char_end").alias("ot")).withColumn("stripe", stripes(F.col("of"), F.col("ot")))
+    near = i.withColumn("stripe", stripes(F.col("f"), F.col("t"))).join(o, [part, "stripe"])
+    holds, crosses = (F.col("of") <= F.col("f")) & (F.col("t") <= F.col("ot")), (F.col("of") < F.col("t")) & (F.col("f") < F.col("ot"))
+    found = near.filter(crosses | holds).groupBy(part, inner_id, "f", "t").agg(
+        F.min_by(F.when(holds, F.col("o_id")), F.when(holds, F.struct("of", "o_id"))).alias("container"),
+        F.count_distinct(F.when(holds, F.col("o_id"))).alias("holders"), F.count_if(crosses & ~holds).alias("crossed"),
+    )
+    first = outer.groupBy(part).agg(F.min("char_start").alias("first"))
+    out = i.join(found, [part, inner_id, "f", "t"], "left").join(first, part, "left")
+    kind = F.when(F.col("holders") == 1, "unique").when(F.col("holders") > 1, "overlap").when(F.coalesce("crossed", F.lit(0)) > 0, "split").when(F.col("t") <= F.col("first"), "before_first").otherwise("unresolved")
+    return out.select(part, inner_id, F.col("container").alias(outer_id), kind.alias("class"))
+
+
+def resolution(classes: DataFrame) -> DataFrame:
+    """One row: intervals, resolved, and the share resolved of all and of those not before the first."""
+    ok = F.count_if(F.col("class").isin("unique", "overlap"))
+    n, before = F.count("*"), F.count_if(F.col("class") == "before_first")
+    return classes.agg(n.alias("intervals"), ok.alias("resolved"), F.round(F.coalesce(F.try_divide(ok, n), F.lit(0.0)), 6).alias("rate"), F.round(F.coalesce(F.try_divide(ok, n - before), F.lit(0.0)), 6).alias("rate_after_first"))
