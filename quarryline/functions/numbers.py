@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MONEY = "decimal(38,6)"
 #: Words for scales, and the powers of ten they stand for.
 SCALES = {"thousand": 3, "million": 6, "billion": 9, "trillion": 12}
-#: Fixed value: a figure in running text: sign, bracket, currency, digits, bracket, percent sign, scale word.
+#: A figure in running text that is not masked: sign, bracket, currency, digits, bracket, percent sign, scale word, at most one blank between them.
 FIGURE = r"(?i)[-−]?\(?\s?\$?\s?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s?\)?\s?%?(?:\s?(?:thousand|million|billion|trillion)s?\b)?"
 
 

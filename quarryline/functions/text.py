@@ -25,9 +25,13 @@ def digit_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\d+", "#"), r"\s+", " "))
 
 
+#: Fixed value: where sentences end: a stop, white space, and a capital, digit, bracket or quote.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9(“\"])"
+
+
 def sentences(text: Column) -> Column:
-    """Sentences: a stop is ., ! or ? before white space and a capital, digit, quote or bracket."""
-    return F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])")
+    """Sentences of a text."""
+    return F.split(text, SENTENCE_END)
 
 
 def letters_share(text: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import SENTENCE_END
+
 SCHEMA = "key string, section string, chunk_no int, first_unit int, last_unit int, size int, text string"
 
 
@@ -77,8 +79,7 @@ def table_parts(rows: DataFrame, target: int) -> DataFrame:
     return each.groupBy("key", "table_no", "head", F.col("x._parts").alias("part_no")).agg(F.count("*").alias("rows"), F.array_join(F.collect_list(F.array_join("x._rows", " | ")), "\n").alias("body"))
 
 
-#: Fixed value: where sentences end: a stop before white space and a capital, digit, quote or bracket.
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])")
+_SENTENCE = re.compile(SENTENCE_END)
 DOCUMENT = (
     "key string, section string, chunk_id string, chunk_type string, first_block int, last_block int, size int, text string, raw_text string, "
     "paragraphs_split int, paragraph_pieces int, whitespace_splits int, tables_split int, layout_tables_split int, over_budget int"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.relational import running
+
 
 def rate(num: Column, den: Column) -> Column:
     """num / den, null for a zero denominator, to six places."""
@@ -76,20 +78,18 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One row: positives, negatives and the chance that a positive scores higher, ties counting half; null with one class.
 
-    Scores are counted first, so the only sort is over distinct scores.
+    Scores are counted and dealt to ranges first, so no task sorts all of them.
     """
     counts = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("p") * (below + F.col("q") / 2))
+    won = running(counts, score, ["q"]).withColumn("won", F.col("p") * (F.col("q_before") + F.col("q") / 2))
     return won.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.round(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q")), 6).alias("auc"))
 
 
 def youden(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the lowest cut with the largest sensitivity + specificity - 1, and that value; score >= cut is positive."""
     counts = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("cut")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    from_here = Window.orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    j = F.try_divide(F.sum("p").over(from_here), F.sum("p").over(every)) - F.try_divide(F.sum("q").over(from_here), F.sum("q").over(every))
+    counts = running(counts, "cut", ["p", "q"], descending=True)
+    j = F.try_divide(F.col("p_before") + F.col("p"), "p_all") - F.try_divide(F.col("q_before") + F.col("q"), "q_all")
     return counts.withColumn("youden", F.round(j, 6)).orderBy(F.desc("youden"), "cut").limit(1).select("cut", "youden")
 
 

@@ -39,15 +39,21 @@ def drifted(stored: DataFrame, source: DataFrame, keys: list[str], value: str) -
     return s.join(t, same(s, t, keys)).filter(~F.col("stored").eqNullSafe(F.col("source"))).select(*[s[k] for k in keys], "stored", "source")
 
 
+#: Offsets of a stripe by which intervals of one part are joined.
+STRIPE = 16_384
+
+
 def contained(inner: DataFrame, outer: DataFrame, part: str, inner_id: str, outer_id: str) -> DataFrame:
     """For each interval of inner the first interval of outer that contains it, and how many do.
 
     Both have part, char_start and char_end. An interval of inner without a container has null and 0. The
-    join is on part; a part is as long as a document, so no group grows with the collection.
+    join is on part and stripes of offsets, so a long part does not meet itself.
     """
     i = inner.select(part, inner_id, F.col("char_start").alias("_from"), F.col("char_end").alias("_to")).distinct()
-    o = outer.select(part, F.col(outer_id).alias("_id"), "char_start", "char_end")
-    hit = i.join(o, part).filter("char_start <= _from and _to <= char_end")
+    # a container holds the begin of what it contains, so intervals meet in the stripe of offsets of that begin only
+    stripes = F.sequence(F.floor(F.col("char_start") / STRIPE), F.floor(F.greatest("char_start", "char_end") / STRIPE))
+    o = outer.select(part, F.col(outer_id).alias("_id"), "char_start", "char_end").withColumn("_stripe", F.explode(stripes))
+    hit = i.withColumn("_stripe", F.floor(F.col("_from") / STRIPE)).join(o, [part, "_stripe"]).filter("char_start <= _from and _to <= char_end")
     first = hit.groupBy(part, inner_id, "_from", "_to").agg(F.min_by("_id", F.struct("char_start", "_id")).alias("_id"), F.count("*").alias("containers"))
     keys = [part, inner_id, "_from", "_to"]
     # keys of intervals hold no null here, as part and offsets joined
@@ -69,16 +75,40 @@ def islands(rows: DataFrame, part: list[str], start: str, end: str) -> DataFrame
     return numbered.groupBy(*part, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("ranges")).drop("_island")
 
 
+#: Ranges that ordered values are dealt to, so that running sums go over ranges first and within one then.
+RANGES = 256
+
+
+def ranged(rows: DataFrame, value: str) -> DataFrame:
+    """rows with _range, the number of the range of their value; equal values share one. The edges are one row of RANGES quantiles."""
+    edges = rows.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), 10_000).alias("_edges"))
+    place = F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")), lambda e: e < F.col(value).cast("double")))
+    return rows.join(F.broadcast(edges)).withColumn("_range", place).drop("_edges")
+
+
+def running(counts: DataFrame, value: str, names: list[str], part: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """counts, a row per value, with name_before: the sum of each named column over smaller values (larger ones if descending), and name_all."""
+    part = part or []
+    r = ranged(counts, value)
+    sums = r.groupBy(*part, "_range").agg(*[F.sum(n).alias(n) for n in names])
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    past = Window.partitionBy(*part).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
+    before = sums.select(*[F.col(c).alias(f"_p_{c}") for c in part], F.col("_range").alias("_p_range"), *[F.coalesce(F.sum(n).over(past), F.lit(0)).alias(f"_{n}_past") for n in names], *[F.sum(n).over(whole).alias(f"{n}_all") for n in names])
+    inner = Window.partitionBy(*part, "_range").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
+    joined = r.join(before, [F.col("_range") == F.col("_p_range"), *[F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in part]])
+    return joined.select(*counts.columns, *[(F.col(f"_{n}_past") + F.coalesce(F.sum(n).over(inner), F.lit(0))).alias(f"{n}_before") for n in names], *[f"{n}_all" for n in names])
+
+
 def nearest_rank(rows: DataFrame, part: list[str], value: str, places: dict[str, str]) -> DataFrame:
     """Order statistics: name to an expression of n for the place from 0, as "n div 2" or "cast(0.95 * (n - 1) as int)".
 
-    Values are counted before they are ordered, so a part is as long as its distinct values. Nulls do not
-    count.
+    Values are counted and dealt to ranges before they are ordered, so no task orders a whole part. Nulls
+    do not count.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*part)
-    upto = counts.withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    picks = [F.max(F.when((F.col("upto") > F.expr(at)) & (F.col("upto") - F.col("c") <= F.expr(at)), F.col(value))).alias(name) for name, at in places.items()]
+    upto = running(counts, value, ["c"], part).withColumnsRenamed({"c_all": "n", "c_before": "below"})
+    picks = [F.max(F.when((F.col("below") + F.col("c") > F.expr(at)) & (F.col("below") <= F.expr(at)), F.col(value))).alias(name) for name, at in places.items()]
     return upto.groupBy(*part).agg(F.max("n").alias("n"), *picks)
 
 
@@ -145,7 +175,7 @@ def preferred(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     return named.join(other, ["cik", "item"], "full").select("cik", "item", F.coalesce("_named", "_other").alias("tag"))
 
 
-def interval_classes(inner: DataFrame, outer: DataFrame, part: str, inner_id: str, outer_id: str, width: int = 16_384) -> DataFrame:
+def interval_classes(inner: DataFrame, outer: DataFrame, part: str, inner_id: str, outer_id: str, width: int = STRIPE) -> DataFrame:
     """For each interval of inner its container and class: unique, overlap, split, before_first or unresolved.
 
     unique has one container, overlap several (the first counts); split crosses the border of an interval;

@@ -87,8 +87,11 @@ def rank_class(rank: Column) -> Column:
 
 
 def currency_text(value: Column, power: Column) -> Column:
-    """Dollar text at a printed scale, null where the value is not whole at it; amounts per share have two places or more."""
+    """Dollar text at a printed scale, null where the value is not whole at it; without a scale (power 0) an amount with a fraction has two places or more."""
     shown = apply_scale(value, -power)
     word = F.when(power == 3, " thousand").when(power == 6, " million").when(power == 9, " billion").otherwise("")
     whole = shown == F.round(shown, 0)
-    return F.when(whole, F.concat(F.when(value < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(shown).cast("decimal(38,0)"), 0), word))
+    sign = F.concat(F.when(value < 0, "-").otherwise(""), F.lit("$"))
+    digits = F.regexp_extract(F.regexp_replace(F.abs(value).cast("decimal(38,6)").cast("string"), "0+$", ""), r"\.(\d+)$", 1)
+    fraction = F.concat(sign, F.format_number(F.floor(F.abs(value)).cast("decimal(38,0)"), 0), F.lit("."), F.rpad(digits, F.greatest(F.lit(2), F.length(digits)), "0"))
+    return F.when(whole, F.concat(sign, F.format_number(F.abs(shown).cast("decimal(38,0)"), 0), word)).when(power == 0, fraction)

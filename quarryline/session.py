@@ -26,12 +26,15 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of df with checkpoint() in the folder that the session names.
 
-    spark.checkpoint.dir is the shared folder of the cluster. Only where it is unset, as in
-    tests, a temporary folder is set for this session.
+    spark.checkpoint.dir is the shared folder of the cluster. Only where it is unset in a local session,
+    as in tests, a temporary folder is set; a cluster without the setting is an error, as its executors
+    could not read each other's folders.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
     return df.checkpoint(eager=eager)
