@@ -225,3 +225,26 @@ def band(value: Column, edges: list[float]) -> Column:
     for low, high in reversed(list(zip(edges, edges[1:]))):
         out = F.when(value < high, F.lit(f"{low:g} to {high:g}")).otherwise(out)
     return F.when(value.isNotNull(), F.when(value < edges[0], F.lit(f"< {edges[0]:g}")).otherwise(out))
+
+
+def written_problems(items: DataFrame, known_chunks: DataFrame, twins: DataFrame, quotas: DataFrame) -> DataFrame:
+    """item_id and problems of hand-written items: no question, no answer though one is expected, evidence that is no text, no evidence though one
+    is needed, a near-duplicate of an earlier question; and rows without item_id for types that miss their quota.
+
+    known_chunks has chunk_id; twins item_id (rows of earlier near-duplicates); quotas question_type and least.
+    """
+    cited = items.select("item_id", F.explode(F.flatten("gold_evidence_sets")).alias("chunk_id")).join(known_chunks.select("chunk_id").distinct(), "chunk_id", "left_anti").select("item_id").distinct().withColumn("_unknown", F.lit(True))
+    close = twins.select("item_id").distinct().withColumn("_twin", F.lit(True))
+    rows = items.join(cited, "item_id", "left").join(close, "item_id", "left")
+    abstains = F.coalesce("expected_abstain", F.lit(False))
+    said = F.array(
+        F.when(F.coalesce(F.trim("question"), F.lit("")) == "", F.lit("no question")),
+        F.when(~abstains & (F.coalesce(F.trim("reference_answer"), F.lit("")) == ""), F.lit("no answer")),
+        F.when(F.col("_unknown"), F.lit("unknown evidence")),
+        F.when(~abstains & (F.coalesce(F.size(F.flatten("gold_evidence_sets")), F.lit(0)) <= 0), F.lit("no evidence")),
+        F.when(F.col("_twin"), F.lit("near-duplicate")),
+    )
+    found = rows.select("item_id", F.filter(said, lambda x: x.isNotNull()).alias("problems")).filter(F.size("problems") > 0)
+    counts = items.groupBy("question_type").agg(F.count("*").alias("n"))
+    short = quotas.join(counts, "question_type", "left").filter(F.coalesce("n", F.lit(0)) < F.col("least")).select(F.lit(None).cast("string").alias("item_id"), F.array(F.concat(F.lit("too few "), "question_type")).alias("problems"))
+    return found.unionByName(short)

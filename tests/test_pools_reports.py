@@ -122,3 +122,21 @@ def test_search_methods_timeouts_and_embedding(spark, tmp_path):
     ask = spark.createDataFrame([(1, [1.0, 0.1])], "query_id int, query_vector array<double>")
     near = retrieval.dense_allowed(v, "k", "v", ask, spark.createDataFrame([(1, "b"), (1, "c"), (1, "b")], "query_id int, doc string"))
     assert [(r["doc"], r["rank"]) for r in near.collect()] == [("b", 1)]
+
+
+def test_written_items_and_schemas(spark):
+    import pytest
+
+    from quarryline.sources.tables import Registry
+
+    i = [("a", "q?", "x", [["c1"]], False, "t"), ("b", " ", None, None, False, "t"), ("c", "q2?", None, [], True, "u"), ("d", "q3?", "x", [["zz"]], False, "u")]
+    df = spark.createDataFrame(i, "item_id string, question string, reference_answer string, gold_evidence_sets array<array<string>>, expected_abstain boolean, question_type string")
+    got = {r["item_id"]: r["problems"] for r in pools.written_problems(df, spark.createDataFrame([("c1",)], "chunk_id string"), spark.createDataFrame([("d",)], "item_id string"), spark.createDataFrame([("t", 2), ("v", 1)], "question_type string, least int")).collect()}
+    assert got == {"b": ["no question", "no answer", "no evidence"], "d": ["unknown evidence", "near-duplicate"], None: ["too few v"]}
+    r = Registry()
+    r.add("t", 1, "a int")
+    r.add("t", 2, "a bigint, b string")
+    with pytest.raises(ValueError):
+        r.add("t", 2, "a int")
+    out = r.conformed(spark.createDataFrame([(1, "x")], "a int, z string"), "t")
+    assert out.columns == ["a", "b"] and out.dtypes[0][1] == "bigint" and tuple(out.first()) == (1, None)
