@@ -3,8 +3,9 @@
 Similarity is that of the sets of adjacent words. Every distinct set gets a sketch of bits, of which two
 sets differ in about half the dissimilarity. Sketches of sets that share a rare piece are put into a
 binary trie of that piece; the trie is joined with itself: pairs of nodes go down together, add up the
-bits in which they differ and are dropped when these exceed the error budget. What reaches the leaves is
-checked on the words.
+bits in which they differ and are dropped when these exceed the error budget. Below a node of few
+sketches a trie does not branch; two such nodes are compared as one table of 64-bit words. What reaches
+the leaves is checked on the words.
 
 Which pieces root a trie follows from the threshold: ordered from rare to common, two sets that are
 similar enough share one of their first pieces, so no similar pair is in no trie.
@@ -36,7 +37,9 @@ DEVIATIONS = 5.0
 #: Sketches of a trie that are joined at once, a larger one part by part; pairs of sketches at hand at most; postings gathered before tries are joined.
 PART, PAIRS, GATHERED = 1024, 4_000_000, 100_000
 #: A trie of more sketches is not joined where it was gathered but spread over tasks, in blocks of so many sketches.
-SPREAD = 8192
+SPREAD = 65_536
+#: Nodes of at most LEAF sketches do not branch; two of them are compared in one table, or with others at once where they make at most FEW pairs.
+LEAF, FEW = 256, 600
 
 _WORD = re.compile("[a-z0-9]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +87,7 @@ def set_id(kind: str, pieces: np.ndarray) -> int:
 
 def sketch(pieces: np.ndarray) -> np.ndarray:
     """BITS bits: pieces are spread over as many bins by hash, a bin gives a bit of its smallest piece, an empty one gives 0."""
-    bins = (pieces >> np.uint64(57)).astype(np.int64) if BITS == 128 else (pieces % np.uint64(BITS)).astype(np.int64)
+    bins = (pieces >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64)
     first = np.unique(bins, return_index=True)  # pieces are sorted and bins are their top bits, so the first is the smallest
     bits = np.zeros(BITS, dtype=np.uint8)
     bits[first[0]] = (mixed(pieces[first[1]]) & np.uint64(1)).astype(np.uint8)
@@ -96,12 +99,27 @@ def prefix(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
+def leading(n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """Which places of a root are those that the smaller of two similar sets can have their first common piece at."""
+    return place <= n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)
+
+
 def budgets(similarity: float) -> list[int]:
     """Error budget at every depth: expected differing bits at the threshold, plus deviations."""
     p = (1 - similarity) / 2
     return [math.ceil(b * p + DEVIATIONS * math.sqrt(b * p * (1 - p))) for b in np.cumsum(STEPS)]
 
 
+def budget_of_sizes(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Error budget of a whole sketch by the number of pieces of both sets.
+
+    Bins that neither set has a piece in agree. In another one the smallest piece of both sets together is in
+    both with the similarity as probability; else the bits differ every second time.
+    """
+    p = (1 - similarity) / 2 * (1 - (1 - 1 / BITS) ** (sizes / (1 + similarity)))
+    return np.ceil(BITS * p + DEVIATIONS * np.sqrt(BITS * p * (1 - p)))
+
+
 def words_of(sketches: list[bytes]) -> np.ndarray:
     """A row per sketch with its bits in STEPS, as unsigned numbers."""
     raw = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), BITS // 8).astype(np.uint64)
@@ -142,6 +160,16 @@ def expanded(fa: np.ndarray, ta: np.ndarray, fb: np.ndarray, tb: np.ndarray) ->
     return fa[place] + down, fb[place] + within - down * width[place], place
 
 
+def head(bits: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first 64 bits of sketches in STEPS as one number, and the depth that they reach; of other sketches their first number."""
+    if bits.shape[1] != len(STEPS):
+        return bits[:, 0], 0
+    out, depth = bits[:, 0], int(np.searchsorted(np.cumsum(STEPS), 64))
+    for k in range(1, depth + 1):
+        out = (out << np.uint64(STEPS[k])) | bits[:, k]
+    return out, depth
+
+
 def trie_join(a: tuple, b: tuple | None, errors: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places of the sketches under one root that differ in no more bits than the budget of every depth.
 
@@ -150,23 +178,58 @@ def trie_join(a: tuple, b: tuple | None, errors: list[int]) -> tuple[np.ndarray,
     sorted rows that begin alike: root, size class, then the words of the sketch. Pairs of nodes go down
     together to the pairs of their children; they are dropped when the size classes are too far apart or
     the bits in which they differ, added up, exceed the budget. All tries go down at once.
+    Two nodes that do not branch are compared by the first 64 bits of all their sketches; what is left of
+    these pairs goes down depth by depth, so the pairs are those of a trie that branches.
     """
     sides = []
     for roots, classes, bits in (a,) if b is None else (a, b):
         order = np.lexsort((*bits.T[::-1], classes, roots))
         columns = [roots[order], classes[order], *bits[order].T]
-        sides.append((order, columns, *levels(columns)))
-    (order_a, ca, fa, da), (order_b, cb, fb, db) = sides[0], sides[-1]
+        sides.append((order, columns, *levels(columns), *head(bits[order])))
+    (order_a, ca, fa, da, ha, depth), (order_b, cb, fb, db, hb, _) = sides[0], sides[-1]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def checked(x: np.ndarray, y: np.ndarray) -> None:
+        ok = np.abs(ca[1][x] - cb[1][y]) <= CLASSES
+        x, y = x[ok], y[ok]
+        spent = np.zeros(len(x), dtype=np.int64)
+        for k, most in enumerate(errors):
+            spent = spent + np.bitwise_count(ca[k + 2][x] ^ cb[k + 2][y])
+            ok = spent <= most
+            x, y, spent = x[ok], y[ok], spent[ok]
+        found.append((x, y))
+
+    def compared(la: np.ndarray, ua: np.ndarray, lb: np.ndarray, ub: np.ndarray) -> None:
+        few = (ua - la) * (ub - lb) <= FEW
+        x, y, _ = expanded(la[few], ua[few], lb[few], ub[few])
+        ok = np.bitwise_count(ha[x] ^ hb[y]) <= errors[depth]
+        if b is None:
+            ok &= x < y
+        checked(x[ok], y[ok])
+        xs, ys = [], []
+        for lo, hi, low, high in zip(*(v[~few].tolist() for v in (la, ua, lb, ub))):
+            x, y = np.nonzero(np.bitwise_count(ha[lo:hi, None] ^ hb[None, low:high]) <= errors[depth])
+            x, y = x + lo, y + low
+            if b is None:
+                x, y = x[x < y], y[x < y]
+            xs.append(x)
+            ys.append(y)
+        if xs:
+            checked(np.concatenate(xs), np.concatenate(ys))
+
     na = nb = np.arange(len(fa[0]) - 1)
     cost = np.zeros(len(na), dtype=np.int64)
     for k in range(len(da)):
+        la, ua, lb, ub = fa[k][na], fa[k][na + 1], fb[k][nb], fb[k][nb + 1]
+        leaf = (np.maximum(ua - la, ub - lb) <= LEAF) | (k == len(da) - 1)
+        compared(la[leaf], ua[leaf], lb[leaf], ub[leaf])
+        na, nb, cost = na[~leaf], nb[~leaf], cost[~leaf]
+        if not len(na):
+            break
         xa, xb, place = expanded(da[k][na], da[k][na + 1], db[k][nb], db[k][nb + 1])
-        rows = k == len(da) - 1
         if b is None:
-            ahead = xa < xb if rows else xa <= xb
+            ahead = xa <= xb
             xa, xb, place = xa[ahead], xb[ahead], place[ahead]
-        if rows:
-            return order_a[xa], order_b[xb]
         left, right = ca[k + 1][fa[k + 1][xa]], cb[k + 1][fb[k + 1][xb]]
         if k == 0:
             alive = np.abs(left - right) <= CLASSES
@@ -176,7 +239,7 @@ def trie_join(a: tuple, b: tuple | None, errors: list[int]) -> tuple[np.ndarray,
             alive = spent <= errors[k - 1]
             cost = spent[alive]
         na, nb = xa[alive], xb[alive]
-    raise AssertionError
+    return order_a[np.concatenate([x for x, _ in found])], order_b[np.concatenate([y for _, y in found])]
 
 
 def histogram(texts: DataFrame, words: int) -> np.ndarray:
@@ -249,7 +312,7 @@ def hash_name(name: str) -> int:
 
 
 def candidates(posted: DataFrame, similarity: float, spread: int = SPREAD) -> DataFrame:
-    """Pairs of set ids, smaller first, that some trie brings to its leaves within the error budget, once each.
+    """Pairs of set ids, smaller first, that some trie brings to its leaves within the error budget, and that of their sizes, once each.
 
     Postings are sorted by root. Small tries go down together; a trie of more than PART sketches is joined
     part by part, so the work at hand is bounded. A trie of more than spread sketches is passed on instead:
@@ -262,6 +325,8 @@ def candidates(posted: DataFrame, similarity: float, spread: int = SPREAD) -> Da
         i, j, n, m = a[1][x], b[1][y], a[2][x], b[2][y]
         least = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
         ok = (i != j) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - a[3][x], m - b[3][y]) >= least)
+        spent = np.bitwise_count(a[4][x[ok]] ^ b[4][y[ok]]).sum(axis=1)
+        ok[ok] = spent <= budget_of_sizes(n[ok] + m[ok], similarity)
         i, j = i[ok], j[ok]
         return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
 
@@ -277,15 +342,29 @@ def candidates(posted: DataFrame, similarity: float, spread: int = SPREAD) -> Da
         raw = np.concatenate([rows[4][at, k].astype(f">u{step // 8}").view(np.uint8).reshape(len(at), -1) for k, step in enumerate(STEPS)], axis=1)
         return pd.DataFrame({"root": rows[0][at], "id": rows[1][at], "pieces": rows[2][at], "place": rows[3][at], "bits": [x.tobytes() for x in raw]})
 
+    def cut_up(rows: tuple) -> list[tuple[bool, tuple]]:
+        """Parts of a trie, and whether its rows lead; two that don't are in no pair by this root."""
+        lead = leading(rows[2], rows[3], similarity)
+        out = []
+        for own in (True, False):
+            some = tuple(x[lead == own] for x in rows)
+            out += [(own, tuple(x[k : k + PART] for x in some)) for k in range(0, len(some[0]), PART)]
+        return out
+
     def in_parts(rows: tuple) -> Iterator[pd.DataFrame]:
-        parts = [tuple(x[k : k + PART] for x in rows) for k in range(0, len(rows[0]), PART)]
-        for n, p in enumerate(parts):
-            yield joined(p, None)
-            for q in parts[:n]:
-                yield joined(p, q)
+        parts = cut_up(rows)
+        for n, (lead, p) in enumerate(parts):
+            if lead:
+                yield joined(p, None)
+            for first, q in parts[:n]:
+                if lead or first:
+                    yield joined(p, q)
 
     def tries(rows: tuple) -> Iterator[pd.DataFrame]:
-        # rows hold whole tries: roots, ids, sizes, places, sketches
+        # rows hold whole tries: roots, ids, sizes, places, sketches; a set that several partitions posted counts once
+        order = np.lexsort((rows[1], rows[0]))
+        again = (rows[0][order[1:]] == rows[0][order[:-1]]) & (rows[1][order[1:]] == rows[1][order[:-1]])
+        rows = tuple(x[order[np.append(True, ~again)]] for x in rows)
         cut = np.flatnonzero(np.diff(rows[0])) + 1
         starts, ends = np.append(0, cut), np.append(cut, len(rows[0]))
         width = ends - starts
@@ -302,8 +381,7 @@ def candidates(posted: DataFrame, similarity: float, spread: int = SPREAD) -> Da
             done, taken = upto, bounds[upto - 1]
             yield joined(part, None)
         for lo, hi in zip(starts[width > PART], ends[width > PART]):
-            first = np.unique(rows[1][lo:hi], return_index=True)[1] + lo  # a set that several partitions posted
-            yield from in_parts(tuple(x[first] for x in rows))
+            yield from in_parts(tuple(x[lo:hi] for x in rows))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -375,10 +453,11 @@ def candidates(posted: DataFrame, similarity: float, spread: int = SPREAD) -> Da
                 if len(sides) == 1:
                     yield from in_parts(sides[0])
                 else:
-                    cut = lambda r: [tuple(x[k : k + PART] for x in r) for k in range(0, len(r[0]), PART)]
-                    for p in cut(sides[0]):
-                        for q in cut(sides[1]):
-                            yield joined(p, q)
+                    others = cut_up(sides[1])
+                    for lead, p in cut_up(sides[0]):
+                        for first, q in others:
+                            if lead or first:
+                                yield joined(p, q)
 
         for b in batches:
             if not len(b):

@@ -220,6 +220,37 @@ def test_trie_join_equals_all_pairs():
     assert {(i, j) for i, j in zip(x.tolist(), y.tolist())} == {(i, j) for i in range(20) for j in range(12) if near(i, j + 20)}
 
 
+def test_wide_tries_branch_no_further_than_needed():
+    r = np.random.RandomState(3)
+    base = r.randint(0, 256, (300, neardup.BITS // 8)).astype(np.uint8)
+    near = base[r.randint(0, 300, 900)] ^ (r.rand(900, neardup.BITS // 8) < 0.05).astype(np.uint8)
+    bits = neardup.words_of([x.tobytes() for x in np.concatenate([base, near])])
+    roots, classes = np.repeat([5, 6, 7], [900, 280, 20]), r.randint(0, 4, 1200)
+    errors = neardup.budgets(0.7)
+    spent = np.cumsum(np.bitwise_count(bits[:, None] ^ bits[None]).astype(int), axis=2)
+    ok = (spent <= errors).all(axis=2) & (roots[:, None] == roots) & (np.abs(classes[:, None] - classes) <= neardup.CLASSES)
+    want = {(i, j) for i, j in zip(*np.nonzero(ok)) if i < j}
+    for leaf in (4, neardup.LEAF):  # whether nodes branch or not, the pairs are the same
+        kept, neardup.LEAF = neardup.LEAF, leaf
+        try:
+            x, y = neardup.trie_join((roots, classes, bits), None, errors)
+        finally:
+            neardup.LEAF = kept
+        assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())} == want and len(x) == len(want) > 1000
+
+
+def test_short_sets_under_one_root_are_no_candidates_by_their_empty_bins(spark):
+    r = np.random.RandomState(4)
+    sets = [np.sort(r.randint(0, 1 << 62, 40).astype(np.uint64) << np.uint64(2)) for _ in range(400)]
+    rows = [(1, i, 40, 9 if i % 4 else 0, bytearray(neardup.sketch(x).tobytes())) for i, x in enumerate(sets)]
+    rows += [(1, 7000 + i, 40, 0, bytearray(neardup.sketch(sets[i]).tobytes())) for i in range(50)]
+    posted = spark.createDataFrame(rows + rows[:60], "root long, id long, pieces int, place int, bits binary")
+    got = {tuple(x) for x in neardup.candidates(posted, 0.7).collect()}
+    # place 9 of 40 leaves 31 pieces, too few for two sets of one size (33)
+    assert {(i, 7000 + i) for i in range(0, 50, 4)} <= got and not any(i % 4 for i, j in got if i < 7000)
+    assert len(got) < 200  # of 11,175 pairs whose places allow it
+
+
 def test_components_of_a_long_chain(spark):
     r = random.Random(4)
     names = list(range(3000))
