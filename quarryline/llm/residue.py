@@ -6,32 +6,43 @@ A run of filler or notice windows that covers most of its segment (a line or sen
 that only speaks of such things holds few such characters. Any other run is judged by a second model on
 its characters and those around it, trained on residue put into prose and on the runs that prose itself
 has. What share of a text the segments cover is its coverage.
+
+Both models are learned from all texts: n-grams are counted over the whole table, and every text gives its
+own runs and takes residue that is put into it. The second model is fitted by rounds over these examples,
+whose gradients are sums of whole numbers, so it does not depend on partitions.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from random import Random
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import checkpointed
+
 #: Order of the n-grams and number of their hash buckets.
 ORDER, BUCKETS = 4, 1 << 16
-#: Natural prose is learned from at most so many documents of the table, those with the smallest hash of their key, read whole.
-PROSE_SAMPLE = 4000
+#: Documents whose runs and examples are one block; tasks of a round at most, each of which sends the driver one array of JUDGED numbers.
+BLOCK, TASKS = 500, 64
 #: Length of a window, mean log ratio from which one counts, and share of its segment that windows must cover.
 WINDOW, RATIO, COVER = 16, 0.7, 0.6
 #: Placeholders are shorter and have a shorter window. Shortest run that is judged, and characters around it that are looked at.
 FIELD_WINDOW, FIELD_RATIO, LEAST_RUN, AROUND = 4, 1.8, 4, 12
 #: A run of filler or notice windows of this length and mean ratio counts without more ado.
 STRONG_RUN, STRONG_RATIO = 20, 1.1
-#: Texts that residue is put into to train the second model, buckets of its features, its rounds, and its bar.
-MADE, JUDGED, ROUNDS, JUDGE = 5000, 1 << 16, 10, 0.7
+#: Texts at least that residue is put into to train the second model (of fewer documents each takes it several times), buckets of its features, its rounds at most, and its bar.
+MADE, JUDGED, ROUNDS, JUDGE = 5000, 1 << 16, 24, 0.7
+#: Weight of the squares of the second model's weights; parts of one that gradients are rounded to; steps that its curvature is told from.
+RIDGE, FINE, STEPS = 1e-4, 1 << 20, 8
 #: Ratio of a single n-gram is cut to this; weight of the counts against an even distribution.
 CLIP, SEEN = 4.0, 0.9
 
@@ -103,10 +114,9 @@ _SEGMENT = re.compile(r"\n+|(?<=[.!?])\s+")
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratios to prose of all n-gram buckets, with a column each for filler, notices and placeholders, and weights of the second model."""
+    """Log ratios to prose of all n-gram buckets, with a column each for filler, notices and placeholders."""
 
     ratios: np.ndarray
-    judge: np.ndarray
 
 
 def grams(text: str) -> np.ndarray:
@@ -123,6 +133,7 @@ def grams(text: str) -> np.ndarray:
 #: Names of the kinds of residue.
 KINDS = ("filler", "notice", "placeholder")
 _DIGITS = str.maketrans("123456789", "000000000")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def filler_lines(n: int = 400) -> list[str]:
@@ -149,86 +160,154 @@ def placeholder_lines() -> list[str]:
     return [f" {x} " for x in out + BARE.split("|") * 20]  # as they stand between words
 
 
-def fit(prose: list[str]) -> Model:
-    """Model from the labelled lines and a sample of the texts.
+def classes() -> list[list[str]]:
+    """Labelled lines of each kind."""
+    lines = lambda block: [x.strip() for x in re.split(r"\n|(?<=\S) \| (?=\S)", block) if x.strip()]
+    return [filler_lines() + lines(FILLER) * 20, lines(NOTICES) + status_lines(), placeholder_lines()]
+
+
+def counted(texts: DataFrame) -> np.ndarray:
+    """How often each n-gram bucket occurs in all texts; tasks send their counts in segments, which are added up before they are collected."""
+    segments = 16
+    part = BUCKETS // segments
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(BUCKETS, dtype=np.int64)
+        for rows in batches:
+            for t in rows["t"]:
+                if t is not None:
+                    n += np.bincount(grams(t), minlength=BUCKETS)
+        yield pd.DataFrame({"segment": range(segments), "counts": [x.tobytes() for x in n.reshape(segments, part)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for rows in batches:
+            for k, c in zip(rows["segment"], rows["counts"]):
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, dtype=np.int64)
+        if sums:
+            yield pd.DataFrame({"segment": list(sums), "counts": [x.tobytes() for x in sums.values()]})
+
+    schema = "segment int, counts binary"
+    out = np.zeros((segments, part), dtype=np.int64)
+    for row in texts.select("t").mapInPandas(count, schema).repartition(segments // 4, "segment").mapInPandas(add, schema).collect():
+        out[row["segment"]] = np.frombuffer(row["counts"], dtype=np.int64)
+    return out.ravel()
+
+
+def ratios_of(counts: np.ndarray) -> np.ndarray:
+    """Log ratios of the labelled lines to the texts, whose n-grams are counted.
 
     All tables are mixed with the same even distribution, so an n-gram that neither side has seen says
-    nothing. The sample holds residue in the share that the table has; that lowers the ratios of its
+    nothing. The texts hold residue in the share that the table has; that lowers the ratios of its
     n-grams little, as a labelled line is a far larger part of its own table.
     """
-    lines = lambda block: [x.strip() for x in re.split(r"\n|(?<=\S) \| (?=\S)", block) if x.strip()]
-    classes = [filler_lines() + lines(FILLER) * 20, lines(NOTICES) + status_lines(), placeholder_lines()]
 
-    def table(texts: list[str]) -> np.ndarray:
-        n = sum((np.bincount(grams(t), minlength=BUCKETS) for t in texts), np.zeros(BUCKETS))
+    def table(n: np.ndarray) -> np.ndarray:
         return np.log(SEEN * n / max(1.0, n.sum()) + (1 - SEEN) / BUCKETS)
 
-    base = table(prose)
-    ratios = np.stack([np.clip(table(c) - base, -CLIP, CLIP) for c in classes], axis=1).astype(np.float32)
-    return Model(ratios, judge_of(prose, classes, Model(ratios, np.zeros(JUDGED))))
+    base = table(counts)
+    tables = [table(np.bincount(np.concatenate([grams(t) for t in c]), minlength=BUCKETS)) for c in classes()]
+    return np.stack([np.clip(t - base, -CLIP, CLIP) for t in tables], axis=1).astype(np.float32)
 
 
-def judge_of(prose: list[str], classes: list[list[str]], model: Model) -> np.ndarray:
-    """Weights of the second model: runs of residue that was put into prose, against runs that prose has itself.
+def made_of(text: str, n: int, labelled: list[list[str]], model: Model) -> list[tuple[str, Run, int]]:
+    """Texts with a run and its label: residue that is put into a text, n times, and what stands there by nature.
 
-    A sentence or word of a sampled text makes place for a labelled line. Runs of the sample that cover
-    their segment or hold the form of a placeholder are no examples of prose.
+    A sentence or word makes place for a labelled line. What is drawn follows from the text alone.
     """
-    rng = np.random.RandomState(11)
-    rows, labels = [], []
-    for t in prose:
-        for r in runs(t, model):
-            if not r.covers and not (r.kind == 2 and PLACEHOLDER.search(t, max(0, r.lo - 45), min(len(t), r.hi + 45))):
-                rows.append(marks(t, r))
-                labels.append(0.0)
-    full = [t for t in prose if len(t) > 60]
-    for n in range(MADE if full else 0):
-        kind = (0, 1, 1, 2, 2, 2)[n % 6]
-        line = classes[kind][rng.randint(len(classes[kind]))].strip()
-        t = full[rng.randint(len(full))]
-        at = rng.randint(max(1, len(t) - 500))
-        t = t[at : at + 500]
+    out = []
+    if len(text) <= 60:
+        return out
+    rng = Random(text)
+    for _ in range(n):
+        kind = (0, 1, 1, 2, 2, 2)[rng.randrange(6)]
+        line = rng.choice(labelled[kind]).strip()
+        at = rng.randrange(max(1, len(text) - 500))
+        t = text[at : at + 500]
         # what stands there by nature is an example of prose in the same surroundings
         spaces = [m.start() for m in re.finditer(r" ", t)]
         if len(spaces) > 2:
-            k = rng.randint(len(spaces) - 1)
+            k = rng.randrange(len(spaces) - 1)
             a, b = spaces[k] + 1, spaces[k + 1] if kind == 2 else min(len(t), spaces[k] + 1 + len(line))
             if b - a >= LEAST_RUN:
-                rows.append(marks(t, Run(a, b, kind, 2.0 if kind == 2 else 1.0, a, b, False)))
-                labels.append(0.0)
+                out.append((t, Run(a, b, kind, 2.0 if kind == 2 else 1.0, a, b, False), 0))
         gaps = [m.start() for m in (re.finditer(r" ", t) if kind == 2 else _SEGMENT.finditer(t))] or [len(t)]
-        at = gaps[rng.randint(len(gaps))]
+        at = rng.choice(gaps)
         before, after = t[:at], t[at:].lstrip()
-        if kind == 2 and rng.rand() < 0.7:
+        if kind == 2 and rng.random() < 0.7:
             after = after.partition(" ")[2]
-        glue = " " if kind == 2 or rng.rand() < 0.5 else "\n"
-        made = f"{before}{glue}{line} {after}" if kind == 2 else f"{before}{glue}{line}{' ' if rng.rand() < 0.5 else glue}{after}"
+        glue = " " if kind == 2 or rng.random() < 0.5 else "\n"
+        made = f"{before}{glue}{line} {after}" if kind == 2 else f"{before}{glue}{line}{' ' if rng.random() < 0.5 else glue}{after}"
         lo, hi = len(before) + 1, len(before) + 1 + len(line)
-        for r in runs(made, model):
-            if r.lo < hi and r.hi > lo:
-                rows.append(marks(made, r))
-                labels.append(1.0)
-    return trained(rows, np.array(labels)) if rows else np.zeros(JUDGED)
-
-
-def trained(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Weights of a regularised logistic regression by adaptive steps, both labels with one weight in all."""
-    w, squares, rng = np.zeros(JUDGED), np.full(JUDGED, 1e-3), np.random.RandomState(2)
-    share = labels.mean().clip(0.01, 0.99)
-    weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
-    lengths = np.array([len(r) for r in rows])
+        out += [(made, r, 1) for r in runs(made, model) if r.lo < hi and r.hi > lo]
+    return out
+
+
+def fitted(examples: DataFrame, none: int, some: int) -> np.ndarray:
+    """Weights of a regularised logistic regression on all examples, both labels with one weight in all.
+
+    Rounds of L-BFGS; none and some are the numbers of examples of both labels. A round reads all examples.
+    """
+    if not none + some:
+        return np.zeros(JUDGED)
+    share = min(max(some / (none + some), 0.01), 0.99)
+    weights = (0.5 / (1 - share), 0.5 / share)
+    blocks, total = examples.select("block").filter("block is not null").coalesce(TASKS), none + some
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = examples.sparkSession.sparkContext.broadcast(w)
+
+        def slope(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            w, loss, g = shared.value, 0.0, np.zeros(JUDGED)
+            for rows in batches:
+                for block in rows["block"]:
+                    _, _, own, lengths, labels = pickle.loads(zlib.decompress(block))
+                    scores = sums(w[own], lengths)
+                    weight = np.where(labels > 0, weights[1], weights[0]) * (labels >= 0)
+                    # whole numbers, whose sums do not depend on their order
+                    part = np.rint((1 / (1 + np.exp(-np.clip(scores, -30, 30))) - (labels > 0)) * weight * FINE)
+                    loss += np.rint(np.logaddexp(0, np.where(labels > 0, -scores, scores)) * weight * FINE).sum()
+                    g += np.bincount(own, weights=np.repeat(part, lengths), minlength=JUDGED)
+            yield pd.DataFrame({"loss": [loss], "g": [g.tobytes()]})
+
+        loss, g = 0.0, np.zeros(JUDGED)
+        for row in blocks.mapInPandas(slope, "loss double, g binary").collect():  # TASKS rows of JUDGED numbers at most
+            loss, g = loss + row["loss"], g + np.frombuffer(row["g"])
+        shared.destroy()
+        return loss / FINE / total + RIDGE / 2 * float(w @ w), g / FINE / total + RIDGE * w
+
+    w = np.zeros(JUDGED)
+    loss, g = at(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 1.0
     for _ in range(ROUNDS):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), 64):
-            part = order[lo : lo + 64]
-            own, n = np.concatenate([rows[i] for i in part]), lengths[part]
-            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[own], np.concatenate([[0], np.cumsum(n)[:-1]])), -30, 30)))
-            g = np.bincount(own, weights=np.repeat((p - labels[part]) * weight[part], n), minlength=JUDGED) + 1e-4 * w
-            squares += g * g
-            w -= 0.3 * g / np.sqrt(squares)
+        d, back = g.copy(), []
+        for s, y in reversed(past):
+            back.append((s @ d) / (s @ y))
+            d -= back[-1] * y
+        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 0.5 / max(1e-12, np.sqrt(g @ g))
+        for (s, y), a in zip(past, reversed(back)):
+            d += s * (a - (y @ d) / (s @ y))
+        new = w - size * d
+        next_loss, next_g = at(new)
+        if next_loss > loss:  # the step was too long
+            size /= 4
+            continue
+        s, y = new - w, next_g - g
+        if s @ y > 1e-12:
+            past = [*past[1 - STEPS :], (s, y)]
+        done = loss - next_loss < 1e-5
+        w, loss, g, size = new, next_loss, next_g, 1.0
+        if done:
+            break
     return w
 
 
+def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum of each run of values; runs are not empty."""
+    return np.add.reduceat(values, np.cumsum(lengths) - lengths) if len(lengths) else np.empty(0)
+
+
 @dataclass(frozen=True)
 class Run:
     """A run of hot windows: its characters, kind (filler, notice, placeholder), mean ratio, segment and whether it covers that."""
@@ -242,24 +321,40 @@ class Run:
     covers: bool
 
 
-def marks(text: str, run: Run) -> np.ndarray:
-    """Buckets of a run's features: character n-grams, as they are and by shape, inside the run and on both sides."""
-    inside, left, right = text[run.lo : run.hi], text[max(0, run.lo - AROUND) : run.lo], text[run.hi : run.hi + AROUND]
-    edge = text[max(0, run.lo - 2) : run.lo + 3], text[max(0, run.hi - 3) : run.hi + 2]
-    out = {hash_of(f"{run.kind}bias"), hash_of(f"{run.kind}len{min(12, len(inside) // 4)}"), hash_of(f"{run.kind}mean{int(run.mean * 4)}")}
-    for name, part in (("i", inside), ("l", left), ("r", right), ("a", edge[0]), ("z", edge[1])):
-        low = part.lower().translate(_DIGITS)
-        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group()[0].isupper() else "a", part.translate(_DIGITS))
-        for tag, t in (("c", low), ("s", shape)):
-            for k in (1, 2, 3, 5):
-                out.update(hash_of(f"{name}{tag}{t[i : i + k]}") for i in range(len(t) - k + 1))
-    return np.fromiter(out, dtype=np.int64, count=len(out))
-
-
-def hash_of(name: str) -> int:
-    from xxhash import xxh32_intdigest
+def marks(given: list[tuple[str, Run]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features of runs, one run after the other, and how many each has.
 
-    return xxh32_intdigest(name) % JUDGED
+    Features are character n-grams, as they are and by shape, inside the run, on both sides and at its edges.
+    """
+    if not given:
+        return np.empty(0, dtype=np.uint16), np.empty(0, dtype=np.int64)
+    parts, first = [], []
+    for text, run in given:
+        lo, hi = run.lo, run.hi
+        for part in (text[lo:hi], text[max(0, lo - AROUND) : lo], text[hi : hi + AROUND], text[max(0, lo - 2) : lo + 3], text[max(0, hi - 3) : hi + 2]):
+            plain = part.translate(_DIGITS)
+            parts += [plain.lower(), _LETTERS.sub(lambda m: "A" if m.group()[0].isupper() else "a", plain)]
+        first += [(run.kind << 20) | 1, (run.kind << 20) | 2 << 8 | min(12, (hi - lo) // 4), (run.kind << 20) | 3 << 8 | (int(run.mean * 4) & 255)]
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    place = np.repeat(np.arange(len(parts)), sizes)  # ten parts of a run, in order
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    keys = [(np.repeat(np.arange(len(given)), 3) << 16) | scrambled(np.array(first, dtype=np.uint64))]
+    for k in (1, 2, 3, 5):
+        at = np.flatnonzero(left >= k)
+        h = (place[at] % 10).astype(np.uint64) * np.uint64(8) + np.uint64(k + (1 << 32))
+        for i in range(k):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[at + i]
+        keys.append((place[at] // 10 << 16) | scrambled(h))
+    own = np.unique(np.concatenate(keys))
+    return (own & 0xFFFF).astype(np.uint16), np.bincount(own >> 16, minlength=len(given))
+
+
+def scrambled(h: np.ndarray) -> np.ndarray:
+    """Buckets of JUDGED."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(48)).astype(np.int64)
 
 
 def hot_runs(ratios: np.ndarray, width: int, bar: float = RATIO) -> list[tuple[int, int, float]]:
@@ -294,48 +389,79 @@ def runs(text: str, model: Model) -> list[Run]:
     return found
 
 
-def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
-    """Begin, end and kind of what is residue in a text: whole segments of filler and notices, and the runs that the second model accepts."""
-    out = []
-    for r in runs(text, model):
-        if r.covers:
-            out.append((min(r.begin, r.lo), max(r.end, r.hi), KINDS[r.kind]))
-        elif model.judge[marks(text, r)].sum() > np.log(JUDGE / (1 - JUDGE)):
-            out.append((r.lo, r.hi, KINDS[r.kind]))
-    return out
+def examined(texts: DataFrame, kind: str, ratios: np.ndarray, copies: int) -> DataFrame:
+    """k of every text, in order; the first text of BLOCK has the block of what is known of them, with the examples that they give.
+
+    A block holds the length of each text and its runs, the features of all runs that do not cover their
+    segment, then of residue put into the texts, and a label each: 1 residue, 0 prose, -1 neither.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(Model(ratios))
+
+    def examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, labelled = shared.value, classes()
+        for batch in batches:
+            for lo in range(0, len(batch), BLOCK):
+                rows = batch.iloc[lo : lo + BLOCK]
+                lengths, found, judged, labels, made = [], [], [], [], []
+                for t in rows["t"]:
+                    own = [] if t is None else runs(t, model)
+                    lengths.append(None if t is None else len(t))
+                    found.append([(x.lo, x.hi, x.kind, x.begin, x.end, x.covers) for x in own])
+                    for x in own:
+                        if not x.covers:
+                            judged.append((t, x))
+                            labels.append(-1 if x.kind == 2 and PLACEHOLDER.search(t, max(0, x.lo - 45), min(len(t), x.hi + 45)) else 0)
+                    made += made_of(t, copies, labelled, model) if t else []
+                features, sizes = marks(judged + [x[:2] for x in made])
+                labels = np.array(labels + [x[2] for x in made], dtype=np.int8)
+                block = zlib.compress(pickle.dumps((lengths, found, features, sizes.astype(np.int32), labels), protocol=5), 1)
+                n = len(rows) - 1
+                yield pd.DataFrame({"k": rows["k"], "block": [block, *[None] * n], "none": [int((labels == 0).sum()), *[0] * n], "some": [int((labels == 1).sum()), *[0] * n]})
+
+    return checkpointed(texts.mapInPandas(examine, f"k {kind}, block binary, none long, some long"))
 
 
 def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document the characters, the share covered by segments with residue, and the kinds found.
 
-    Every text is scored whole. Null texts have null coverage and no kind, empty ones coverage 0. Fitting
-    reads a sample of at most PROSE_SAMPLE documents; with no document the labelled lines alone are used.
+    Every text is scored whole, and all texts are learned from. Null texts have null coverage and no kind,
+    empty ones coverage 0. With no document the labelled lines alone are used.
     """
-    n = max(1, documents.count())
-    h = F.pmod(F.xxhash64(F.lit(3), F.col(key).cast("string")), F.lit(1 << 40))
-    share = int(min(1.0, 1.5 * PROSE_SAMPLE / n) * (1 << 40))
-    drawn = documents.select(F.col(text).alias("t"), h.alias("h")).filter(F.col("t").isNotNull() & (F.col("h") < share)).orderBy("h", "t").limit(PROSE_SAMPLE).collect()
-    model = fit([r["t"] for r in drawn])
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # three tables of BUCKETS numbers and one of JUDGED
+    kind = dict(documents.dtypes)[key]
+    texts = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    ratios = ratios_of(counted(texts))
+    copies = -(-MADE // max(1, texts.filter("length(t) > 60").count()))
+    known = examined(texts, kind, ratios, copies)
+    of = known.agg(F.sum("none").alias("none"), F.sum("some").alias("some")).first()
+    shared = documents.sparkSession.sparkContext.broadcast(fitted(known, of["none"] or 0, of["some"] or 0))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        judge, bar, left = shared.value, np.log(JUDGE / (1 - JUDGE)), iter(())
         for rows in batches:
             out = []
-            for k, t in zip(rows["k"], rows["t"]):
-                if t is None:
+            for k, block in zip(rows["k"], rows["block"]):
+                if block is not None:  # of this text and those that follow
+                    lengths, found, own, sizes, _ = pickle.loads(zlib.decompress(block))
+                    accepted = iter((sums(judge[own], sizes) > bar).tolist())
+                    left = iter(zip(lengths, found))
+                n, runs_of = next(left)
+                if n is None:
                     out.append((k, None, None, []))
                     continue
-                found = sorted(spans(t, own))
+                spans = []
+                for lo, hi, name, begin, end, covers in runs_of:
+                    if covers:
+                        spans.append((min(begin, lo), max(end, hi), KINDS[name]))
+                    elif next(accepted):
+                        spans.append((lo, hi, KINDS[name]))
                 covered = end = 0
-                for lo, hi, _ in found:
+                for lo, hi, _ in sorted(spans):
                     covered, end = covered + max(0, hi - max(lo, end)), max(end, hi)
-                out.append((k, len(t), min(1.0, covered / len(t)) if t else 0.0, sorted({x[2] for x in found})))
+                out.append((k, n, min(1.0, covered / n) if n else 0.0, sorted({x[2] for x in spans})))
             if out:
                 yield pd.DataFrame(out, columns=["k", "chars", "coverage", "kinds"]).astype({"chars": "Int64", "coverage": "Float64"})
 
-    kind = dict(documents.dtypes)[key]
-    scored = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(score, f"k {kind}, chars long, coverage double, kinds array<string>")
+    scored = known.select("k", "block").mapInPandas(score, f"k {kind}, chars long, coverage double, kinds array<string>")
     return scored.withColumnRenamed("k", key)
 
 

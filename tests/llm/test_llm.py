@@ -1,8 +1,10 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import math
+import pickle
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -465,3 +467,28 @@ def test_residue(spark):
     assert got[22]["coverage"] is None and got[21]["coverage"] == 0 and got[1]["coverage"] == 1
     assert {r["doc_id"] for r in residue.clean(df).collect()} == set(got) - set(bad) - {22}
     assert residue.residue(df.limit(0)).count() == 0
+
+
+def test_all_texts_are_learned_from(spark):
+    # 6,000 texts, more than the sample of 4,000 that was drawn before
+    df = spark.createDataFrame([(n, f"{PROSE[n % 300]} Note {n}.") for n in range(6000)], "doc_id long, text string").select(F.col("doc_id").alias("k"), F.col("text").alias("t"))
+    counts = residue.counted(df)
+    want = sum(np.bincount(residue.grams(r["t"]), minlength=residue.BUCKETS) for r in df.collect())
+    assert (counts == want).all()
+    known = residue.examined(df, "bigint", residue.ratios_of(counts), 1)
+    blocks = [pickle.loads(zlib.decompress(r["block"])) for r in known.filter("block is not null").collect()]
+    assert sum(len(b[0]) for b in blocks) == 6000
+    # every text took residue, and examples stand for all of them
+    assert sum((b[4] == 1).sum() for b in blocks) > 4500
+
+
+def test_models_do_not_depend_on_partitions(spark):
+    rows = [(n, PROSE[n % 300] + (" Margins rose by {{ amount }} in May." if n % 50 == 0 else "")) for n in range(600)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = []
+    for parts in (1, 5):
+        texts = df.repartition(parts)
+        known = residue.examined(texts, "bigint", residue.ratios_of(residue.counted(texts)), 2)
+        of = known.agg(F.sum("none"), F.sum("some")).first()
+        got.append(residue.fitted(known, *of))
+    assert (got[0] == got[1]).all() and got[0].any()
