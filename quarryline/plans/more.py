@@ -286,11 +286,8 @@ def misses_diagnosed(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
     """Texts by the share of a question's stems that they hold: the full-text way of sparse search."""
-    c = table(spark, d, "chunks").select(F.col("chunk_id").alias("doc"), F.explode(F.array_distinct(stems(F.col("text")))).alias("stem"))
-    q = answers.questions(spark, d).select("query_id", F.array_distinct(stems(F.col("question"))).alias("s"))
-    asked = q.select("query_id", F.size("s").alias("n"), F.explode("s").alias("stem"))
-    hits = c.join(asked.select("stem").distinct(), "stem", "left_semi").join(asked, "stem").groupBy("query_id", "doc", "n").agg(F.count("*").alias("k"))
-    return retrieval.top(hits.select("query_id", "doc", F.round(F.col("k") / F.col("n"), 9).alias("score")), "score", 10)
+    c = retrieval.spread(table(spark, d, "chunks").select(F.col("chunk_id").alias("doc"), "text"))
+    return retrieval.covering(c.select("doc", F.array_distinct(stems(F.col("text"))).alias("words")), answers.questions(spark, d).select("query_id", stems(F.col("question")).alias("words")))
 
 
 @query()

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarryline.operators import chunking, datasets, documents, metrics, relational, retrieval, units, verification
+from quarryline.plans import more
 
 
 def rows(df, *order):
@@ -49,6 +50,48 @@ def test_bm25_prefers_rare_terms_and_breaks_ties_by_key(spark):
     assert retrieval.bm25(docs.limit(0), "k", "t", q).count() == 0
 
 
+def test_covering_equals_counting_by_hand(spark):
+    draw = random.Random(1)
+    texts = [(f"d{n:03}" if n else None, draw.choices("abcdefghij", k=draw.randint(0, 7)) if n % 9 else None) for n in range(120)] + [("e", []), ("f", [f"w{n}" for n in range(280)])]
+    asked = [(n, draw.sample("abcdefghijkl", draw.randint(1, 6))) for n in range(11)] + [(11, ["z"]), (12, None), (13, []), (14, ["a", "a", None, "b"]), (15, [f"w{n}" for n in range(300)])]
+    t = spark.createDataFrame(draw.sample(texts, len(texts)), "doc string, words array<string>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id int, words array<string>")
+    wanted = []
+    for n, words in asked:
+        own = {w for w in words or [] if w}
+        held = sorted((-len(own & set(x or [])), d is not None, d or "", d) for d, x in texts if own & set(x or []))
+        wanted += [(n, r, h[3], round(-h[0] / len(own), 9)) for r, h in enumerate(held[:4], 1)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for block in (99, 4):
+            assert rows(retrieval.covering(t, q, 4, block).select("query_id", "rank", "doc", "score")) == wanted
+        assert retrieval.covering(t.limit(0), q).count() == retrieval.covering(t, q.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_fulltext_shuffles_no_words_of_texts(spark, tmp_path):
+    """400 texts hold 12 words each, of which 10 questions ask 8: 32,000 pairs, of which 10 a question count."""
+    words = ["amber", "birch", "cedar", "daisy", "elder", "fern", "gorse", "hazel", "iris", "jute", "kelp", "lime"]
+    spark.createDataFrame([(f"c{n:03}", " ".join(words)) for n in range(400)], "chunk_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(f"q-{20 * n:08}-x", " ".join(words[:8])) for n in range(10)], "item_id string, question string").coalesce(1).write.parquet(f"{tmp_path}/eval_items.parquet")
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    store = spark._jsparkSession.sharedState().statusStore()
+    df = more.fulltext_topk(spark, str(tmp_path))
+    bus.waitUntilEmpty()
+    first = store.executionsCount()
+    found = rows(df.select("query_id", "rank", "doc", "score"))
+    assert found == [(f"q-{20 * n:08}-x", r + 1, f"c{r:03}", 1.0) for n in range(10) for r in range(10)]
+    bus.waitUntilEmpty()
+    runs, moved = store.executionsList(), 0
+    for run in [runs.apply(n) for n in range(first, runs.size())]:
+        values = store.executionMetrics(run.executionId())
+        ids = {m.accumulatorId() for m in (run.metrics().apply(n) for n in range(run.metrics().size())) if m.name() == "shuffle records written"}
+        moved += sum(int(values.apply(x).replace(",", "")) for x in ids if values.contains(x))
+    assert 0 < moved <= 400 + 2 * 4 * 10 * 10  # the texts once, and twice the first 10 of each question and task
+
+
 def test_dense_equals_numpy(spark):
     x = np.random.RandomState(0).normal(size=(50, 8))
     v = spark.createDataFrame([(i, [float(a) for a in x[i]]) for i in range(50)] + [(90, [0.0] * 8), (91, None)], "k long, e array<float>").repartition(5)
